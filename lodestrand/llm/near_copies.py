@@ -31,6 +31,8 @@ REFERENCES = 128
 #: Shingles in at least this share of the texts count as frequent; there are at most (mean shingles per text) / share.
 FREQUENT = 0.005
 SUMMARY = 1 << 16
+#: Up to so many keys of candidates (8 bytes each) are broadcast, after counting them; beyond that they are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 _SKETCH = "id string, k long, n int, class binary, shingles array<long>, slices array<short>, counts array<long>"
 
@@ -114,7 +116,7 @@ class NearCopies:
     def __init__(self, df: DataFrame, id: str = "id", text: str = "content", width: int = 5, threshold: float = 0.8, share: float = FREQUENT):
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be above 0 and at most 1")
-        self.threshold, self.scratch = threshold, Scratch(df.sparkSession)
+        self.threshold, self.spark, self.scratch = threshold, df.sparkSession, Scratch(df.sparkSession)
         rows = df.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
         self.sketches = self.scratch.write(rows.mapInArrow(_sketches(width, share), _SKETCH), "sketches")
         self._share, self._links, self._members = share, None, None
@@ -140,6 +142,7 @@ class NearCopies:
         frequent = self.sketches.filter("counts is not null").select(F.explode(F.arrays_zip("shingles", "counts")).alias("x"))
         frequent = frequent.groupBy(F.col("x.shingles").alias("h")).agg(F.sum("x.counts").alias("df")).filter(F.col("df") >= max(2, self._share * total))
         frequent = self.scratch.write(frequent.coalesce(1), "frequent")
+        self.scratch.drop("sketches")
 
         posts = leaders.select("k", F.explode("shingles").alias("h"))
         # bounded by (mean shingles per text) / share entries, whatever the number of texts
@@ -150,29 +153,36 @@ class NearCopies:
 
         by_text = Window.partitionBy("k")
         ranked = shared.withColumn("place", F.row_number().over(by_text.orderBy("df", "h"))).withColumn("kept", F.count("*").over(by_text))
-        ranked = ranked.join(leaders.select("k", "n", "slices"), "k")
-        ranked = ranked.withColumn("place", F.col("place") + F.col("n") - F.col("kept"))
-        first = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).select("h", "k", "n", "place", "slices")
-        first = self.scratch.write(first, "first")
+        ranked = ranked.join(leaders.select("k", "n"), "k")
+        ranked = ranked.withColumn("place", (F.col("place") + F.col("n") - F.col("kept")).cast("int"))
+        first = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).select("h", "k", "n", "place")
 
-        a, b = (first.select("h", *(F.col(c).alias(f"{c}_{i}") for c in ("k", "n", "place", "slices"))) for i in (1, 2))
-        need = F.ceil((F.col("n_1") + F.col("n_2")) * (t / (1 + t)) - 1e-9)
+        a, b = (first.select("h", *(F.col(c).alias(f"{c}_{i}") for c in ("k", "n", "place"))) for i in (1, 2))
         pairs = a.join(
             b,
             (a["h"] == b["h"])
             & (F.col("k_1") < F.col("k_2"))
             & (F.least("n_1", "n_2") >= t * F.greatest("n_1", "n_2") - 1e-9)
-            & (F.least(F.col("n_1") - F.col("place_1"), F.col("n_2") - F.col("place_2")) + 1 >= need),
+            & (F.least(F.col("n_1") - F.col("place_1"), F.col("n_2") - F.col("place_2")) + 1 >= F.ceil((F.col("n_1") + F.col("n_2")) * (t / (1 + t)) - 1e-9)),
         )
+        pairs = self.scratch.write(pairs.select("k_1", "k_2").distinct(), "pairs")
+
+        keys = pairs.select(F.explode(F.array("k_1", "k_2")).alias("k")).distinct()
+        some = self.scratch.write(keys, "keys").count() <= BROADCAST_KEYS
+        keys = self.spark.read.parquet(f"{self.scratch.folder}/keys")
+        near = leaders.join(F.broadcast(keys) if some else keys, "k", "left_semi")
+        tables = [near.select(*(F.col(c).alias(f"{c}_{i}") for c in ("k", "n", "slices"))) for i in (1, 2)]
         apart = F.aggregate(F.zip_with("slices_1", "slices_2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-        pairs = pairs.filter(apart <= F.col("n_1") + F.col("n_2") - 2 * need).select("k_1", "k_2").distinct()
+        total = F.col("n_1") + F.col("n_2")
+        kept = pairs.join(tables[0], "k_1").join(tables[1], "k_2").filter(apart <= total - 2 * F.ceil(total * (t / (1 + t)) - 1e-9)).select("k_1", "k_2")
 
-        full = [leaders.select(*(F.col(c).alias(f"{c}_{i}") for c in ("k", "id", "n", "shingles"))) for i in (1, 2)]
-        both = F.size(F.array_intersect("shingles_1", "shingles_2"))
-        checked = pairs.join(full[0], "k_1").join(full[1], "k_2").withColumn("both", both)
-        checked = checked.withColumn("similarity", F.col("both") / (F.col("n_1") + F.col("n_2") - F.col("both"))).filter(F.col("similarity") >= t)
+        full = [near.select(*(F.col(c).alias(f"{c}_{i}") for c in ("k", "id", "n", "shingles"))) for i in (1, 2)]
+        checked = kept.join(full[0], "k_1").join(full[1], "k_2").withColumn("both", F.size(F.array_intersect("shingles_1", "shingles_2")))
+        checked = checked.withColumn("similarity", F.col("both") / (total - F.col("both"))).filter(F.col("similarity") >= t)
         links = checked.select(F.least("id_1", "id_2").alias("leader_1"), F.greatest("id_1", "id_2").alias("leader_2"), "similarity")
         self._links = self.scratch.write(links, "links")
+        for name in ("leaders", "pairs", "keys", "frequent"):
+            self.scratch.drop(name)
         return self._links
 
     def groups(self) -> DataFrame:
