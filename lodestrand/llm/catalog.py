@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import documented_queries, near_copy_queries
+from lodestrand.llm import documented_queries, leak_queries, near_copy_queries, splitting_queries
 
-MODULES = [near_copy_queries, documented_queries]
+MODULES = [splitting_queries, near_copy_queries, documented_queries, leak_queries]
 
 
 def queries() -> dict:

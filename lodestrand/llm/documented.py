@@ -173,11 +173,18 @@ def _braced_functions(source: str) -> list[dict]:
         if kind == "doc":
             docs.append(i)
             continue
-        if kind in ("end", "close") or (kind == "open" and text == "{"):
+        if kind == "end" or text in "{}":
             fresh, docs = i + 1, []
         if kind != "open" or text != "(" or i not in closing:
             continue
         before = [t for t in tokens[fresh:i] if t[0] != "doc"]
+        if before and before[-1][1] == ">":  # type parameters between name and list
+            depth = 0
+            while before:
+                last = before.pop()
+                depth += (last[1] == ">") - (last[1] == "<")
+                if not depth:
+                    break
         if not before or before[-1][0] != "name" or before[-1][1] in control:
             continue
         j = closing[i] + 1
@@ -185,7 +192,7 @@ def _braced_functions(source: str) -> list[dict]:
             j = closing.get(j, j) + 1 if tokens[j][0] == "open" else j + 1
         if j < len(tokens) and tokens[j][1] == "{":
             stop = tokens[closing[j]][3] if j in closing else len(source)
-            own = [tokens[d] for d in docs if d >= fresh or d < i]
+            own = [tokens[d] for d in docs]
             out.append({"name": before[-1][1], "from": line_of(before[0][2]), "to": line_of(stop - 1), "doc": "\n".join(t[1] for t in own) or None})
     return out
 

@@ -36,11 +36,11 @@ shingles AS (
 ),
 sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
 pairs AS (
-  SELECT a.id AS id_1, b.id AS id_2, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.id < b.id GROUP BY ALL
+  SELECT a.id AS id_1, b.id AS id_2, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.id < b.id GROUP BY ALL
 ),
 found AS (
-  SELECT id_1, id_2, both / (x.n + y.n - both) AS similarity FROM pairs JOIN sizes x ON x.id = id_1 JOIN sizes y ON y.id = id_2
-  WHERE both / (x.n + y.n - both) >= {least}
+  SELECT id_1, id_2, shared / (x.n + y.n - shared) AS similarity FROM pairs JOIN sizes x ON x.id = id_1 JOIN sizes y ON y.id = id_2
+  WHERE shared / (x.n + y.n - shared) >= {least}
 )"""
 
 ORACLES = {
