@@ -102,3 +102,9 @@ def portions(texts: list[str | None], characters: int = 1 << 20):
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+#: Letters of any script: a-z and every byte of a character beyond ASCII. Digits and underscores part words.
+ANY_LETTER = np.zeros(256, dtype=bool)
+ANY_LETTER[ord("a") : ord("z") + 1] = True
+ANY_LETTER[128:] = True
