@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import documented_queries, leak_queries, near_copy_queries, packing_queries, provenance_queries, splitting_queries, subject_queries
+from lodestrand.llm import documented_queries, leak_queries, near_copy_queries, neighbour_queries, packing_queries, provenance_queries, splitting_queries, subject_queries
 
-MODULES = [splitting_queries, provenance_queries, near_copy_queries, documented_queries, packing_queries, leak_queries, subject_queries]
+MODULES = [splitting_queries, neighbour_queries, provenance_queries, near_copy_queries, documented_queries, packing_queries, leak_queries, subject_queries]
 
 
 def queries() -> dict:
