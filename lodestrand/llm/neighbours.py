@@ -299,7 +299,9 @@ class Neighbours:
 
     def _search(self, recall: float) -> DataFrame:
         context, k = self.spark.sparkContext, self.k
-        sample = self.vectors.select("key", "unit").orderBy(F.xxhash64("id"), "id").limit(TRAINING).toArrow()
+        share = min(1.0, 1.2 * TRAINING / self.count)  # few more than wanted reach the task that sorts them
+        near = self.vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        sample = near.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id").limit(TRAINING).select("key", "unit").toArrow()
         keys, train = sample.column("key").to_numpy(), _unpack(sample.column("unit"))
         books = context.broadcast(Codebooks(train, int(np.clip(round(self.count / CELL), 1, 16_384))))
         coded = self.vectors.select("key", "unit").mapInArrow(_encoder(books), "key long, unit binary, first int, code binary, norm float")

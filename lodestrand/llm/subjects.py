@@ -184,7 +184,10 @@ class SubjectModel:
         self.curve = self._calibrate()
 
     def _calibrate(self) -> tuple[float, float, float]:
-        sample = self.shared.filter("labels is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("shares", "labels").toArrow()
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+        share = min(1.0, 1.2 * CALIBRATION_ROWS / max(self.features.filter("labels is not null").count(), 1))
+        near = self.shared.filter((place < int(share * (1 << 30))) & F.col("labels").isNotNull())  # few more than wanted reach the task that sorts them
+        sample = near.orderBy(place, "doc_id").limit(CALIBRATION_ROWS).select("shares", "labels").toArrow()
         if not len(sample):
             return fit_curve(np.zeros(0), np.zeros(0, bool))
         share, labels = (np.array(sample.column(c).to_pylist()) for c in ("shares", "labels"))
