@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrand.plans import hierarchy_queries
+from lodestrand.plans import event_queries, graph_queries, hierarchy_queries, search_queries
 
-MODULES = [hierarchy_queries]
+MODULES = [hierarchy_queries, search_queries, graph_queries, event_queries]
 
 
 def queries() -> dict:
