@@ -56,8 +56,8 @@ def first_case(cases: list[tuple[Column, str]], otherwise: str | None) -> Column
 
 def keywords(text: Column, shortest: int = 3) -> Column:
     """Runs of a-z in the lower-cased text that aren't joined to other word signs, at least `shortest` long, no stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]+)\b"))
-    return F.filter(found, lambda w: (F.length(w) >= shortest) & ~w.isin(STOP_WORDS))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"))
+    return F.filter(found, lambda w: (F.length(w) >= shortest) & w.rlike("^[a-z]+$") & ~w.isin(STOP_WORDS))
 
 
 def top_keywords(text: Column, most: int = 10, shortest: int = 3) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrand.operators import search as S
 from lodestrand.operators.filters import all_of, any_of, escaped_like, from_dict, list_entities, path_matches, query, where
 from lodestrand.plans.registry import Registry
+from lodestrand.plans.scratch import Scratch
 from lodestrand.sources.tables import current_rows, table
 
 R = Registry()
@@ -162,7 +163,8 @@ SELECT id, round(least(1, score * (1 + CASE WHEN share >= 0.5 THEN 0.3 ELSE 0.3
 
 def v_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     """The whole pipeline over current chunks, for the vector of the chunk with the smallest id."""
-    rows = chunks(spark, folder, "content", "file_path", "content_type", "vector")
+    # read four times by the pipeline, so picked once
+    rows = Scratch(spark).write(chunks(spark, folder, "content", "file_path", "content_type", "vector"), "current")
     one = rows.filter(F.size("vector") == 64).orderBy("id").limit(1).select(F.col("vector").alias("wanted"))
     found = S.hybrid_search(rows.crossJoin(F.broadcast(one)), WORDS, F.col("wanted"), 20, overview=True)
     return found.select("id", "file_path", F.round("score", 6).alias("score"), "position")
