@@ -9,12 +9,16 @@ round closes none run into a cycle. Nothing is gathered: pointers, paths and cyc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.plans.scratch import Scratch
 
 OPEN, AT_ROOT, AT_SPLITTER = 0, 1, 2
+#: Up to so many counted open rows, the ids they point at are broadcast (some 100 bytes each).
+FEW = 50_000
 
 
 def containment_links(relationships: DataFrame) -> DataFrame:
@@ -41,24 +45,29 @@ def _splitter(node: Column, every: int) -> Column:
 def _chase(scratch: Scratch, state: DataFrame, name: str, path: bool) -> tuple[DataFrame, int]:
     """Double strides until no row is open or a round closes none; (state, number of open rows left).
 
-    state: node, at, steps, kind and way (the nodes from `at` down to the parent's side, node excluded).
+    state: node, at, steps, kind and way (the nodes from `at` down to the parent's side, node excluded). A round writes the
+    rows that were open, no others; while these are few, only what they point at is looked up.
     """
-    state, left, turn = scratch.write(state, f"{name}0"), -1, 0
-    while (still := state.filter(F.col("kind") == OPEN).count()) and still != left:
+    rows = scratch.write(state, f"{name}0")
+    closed, going, left, turn = [rows.filter(F.col("kind") != OPEN)], rows.filter(F.col("kind") == OPEN), -1, 0
+    while (still := going.count()) and still != left:
         left, turn = still, turn + 1
-        ahead = state.select(F.col("node").alias("at"), *(F.col(c).alias(f"a_{c}") for c in ("at", "steps", "kind", "way")))
-        here = state.filter(F.col("kind") == OPEN).join(ahead, "at", "left")
+        known = reduce(DataFrame.unionByName, [*closed, going])
+        ahead = known.select(F.col("node").alias("at"), *(F.col(c).alias(f"a_{c}") for c in ("at", "steps", "kind", "way")))
+        if still <= FEW:
+            ahead = ahead.join(F.broadcast(going.select("at").distinct()), "at", "left_semi")
         none = F.col("a_at").isNull()
-        moved = here.select(
+        moved = going.join(ahead, "at", "left").select(
             "node",
             F.coalesce("a_at", "at").alias("at"),
             (F.col("steps") + F.coalesce("a_steps", F.lit(0))).alias("steps"),
             F.when(none, AT_ROOT).otherwise(F.col("a_kind")).alias("kind"),
             (F.when(none, F.col("way")).otherwise(F.concat("a_way", "way")) if path else F.col("way")).alias("way"),
         )
-        state, old = scratch.write(state.filter(F.col("kind") != OPEN).unionByName(moved), f"{name}{turn}"), f"{name}{turn - 1}"
-        scratch.drop(old)
-    return state, still
+        moved = scratch.write(moved, f"{name}{turn}")
+        closed.append(moved.filter(F.col("kind") != OPEN))
+        going = moved.filter(F.col("kind") == OPEN)
+    return reduce(DataFrame.unionByName, [*closed, going]), still
 
 
 def _on_cycle(scratch: Scratch, caught: DataFrame, name: str, count: int) -> DataFrame:
