@@ -61,6 +61,7 @@ def register_schema(name: str, schema: StructType) -> StructType:
 
 def _defaults() -> None:
     from lodestrand.functions.chunking import hashed_vector
+    from lodestrand.functions.syntax import PARSERS
     from lodestrand.operators.search import FUSIONS
     from lodestrand.sources import files
 
@@ -69,6 +70,8 @@ def _defaults() -> None:
     for name, fusion in FUSIONS.items():
         fusions.register(name, fusion)
     embedders.register("hashed", hashed_vector)
+    for name, parser in PARSERS.items():
+        parsers.register(name, parser)
 
 
 _defaults()
