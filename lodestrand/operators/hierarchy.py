@@ -64,7 +64,7 @@ def _chase(scratch: Scratch, state: DataFrame, name: str, path: bool) -> tuple[D
             F.when(none, AT_ROOT).otherwise(F.col("a_kind")).alias("kind"),
             (F.when(none, F.col("way")).otherwise(F.concat("a_way", "way")) if path else F.col("way")).alias("way"),
         )
-        moved = scratch.write(moved, f"{name}{turn}")
+        moved = scratch.write(moved.coalesce(2) if still <= FEW else moved, f"{name}{turn}")  # few rows, few files
         closed.append(moved.filter(F.col("kind") != OPEN))
         going = moved.filter(F.col("kind") == OPEN)
     return reduce(DataFrame.unionByName, [*closed, going]), still
