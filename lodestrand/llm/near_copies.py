@@ -31,7 +31,8 @@ REFERENCES = 128
 #: Shingles in at least this share of the texts count as frequent; there are at most (mean shingles per text) / share.
 FREQUENT = 0.005
 SUMMARY = 1 << 16
-#: Up to so many keys of candidates (8 bytes each) are broadcast, after counting them; beyond that they are joined by a shuffle.
+#: Up to so many keys (8 bytes each) of candidates or frequent shingles are broadcast, after counting them; beyond that they are
+#: joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
 _SKETCH = "id string, k long, n int, class binary, shingles array<long>, slices array<short>, counts array<long>"
@@ -145,9 +146,10 @@ class NearCopies:
         self.scratch.drop("sketches")
 
         posts = leaders.select("k", F.explode("shingles").alias("h"))
-        # bounded by (mean shingles per text) / share entries, whatever the number of texts
-        common = posts.join(F.broadcast(frequent), "h").select("h", "k", "df")
-        rare = posts.join(F.broadcast(frequent.select("h")), "h", "left_anti")
+        # at most (mean shingles per text) / share entries, whatever the number of texts; counted all the same
+        small = frequent.count() <= BROADCAST_KEYS
+        common = posts.join(F.broadcast(frequent) if small else frequent, "h").select("h", "k", "df")
+        rare = posts.join(F.broadcast(frequent.select("h")) if small else frequent.select("h"), "h", "left_anti")
         rare = rare.withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1")
         shared = rare.select("h", "k", "df").unionByName(common)
 
