@@ -24,3 +24,24 @@ def session(master: str | None = None, name: str = "lodestrand", **settings: str
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, unless their path has it already: once for each context."""
+    import os
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_lodestrand", False):
+        return
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own: Spark takes a copy and serves it to the executors
+        package = Path(folder) / "lodestrand"
+        shutil.copytree(root / "lodestrand", package / "lodestrand", ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(str(Path(folder) / "lodestrand-package"), "zip", package)
+        target = Path(context._temp_dir) / "lodestrand-package.zip"
+        shutil.copy(archive, target)
+    context.addPyFile(str(target))
+    context._lodestrand = True
