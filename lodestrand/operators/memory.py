@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.functions.prompts import metadata_score
 from lodestrand.functions.text import keyword_similarity, keywords
 from lodestrand.operators.search import cosine
 
@@ -43,8 +44,9 @@ def recency(time: Column, now: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - hours_since(time, now) / (24 * FRESH_DAYS))
 
 
-def retrieve(items: DataFrame, query: Column, now: Column, strategy: str = "relevance", limit: int = 10, words: Column | None = None, weights: tuple[float, float, float] = ADAPTIVE, history: bool = False) -> DataFrame:
-    """The best items of all tiers by a strategy: relevance, recency, importance, adaptive or keyword (with words)."""
+def retrieve(items: DataFrame, query: Column, now: Column, strategy: str = "relevance", limit: int = 10, words: Column | None = None, weights: tuple[float, float, float] = ADAPTIVE, history: bool = False, wanted: dict[str, str] | None = None, subject: str | None = None) -> DataFrame:
+    """The best items of all tiers by a strategy: relevance, recency, importance, adaptive, keyword (with words), metadata (with
+    wanted values of the JSON column metadata) or precision (words, values and 0.2 more for the subject, 1 at most)."""
     rows = relevance(active(items, history), query, now)
     fresh, total = recency(F.col("created_at"), now), sum(weights)
     boost = F.coalesce(F.create_map(*(x for k, v in TIER_BOOST.items() for x in (F.lit(k), F.lit(v))))[F.col("tier")], F.lit(0.5))
@@ -56,11 +58,22 @@ def retrieve(items: DataFrame, query: Column, now: Column, strategy: str = "rele
         rows = rows.withColumn("score", (weights[0] * F.col("score") + weights[1] * fresh + weights[2] * F.col("importance")) / total)
     elif strategy == "keyword":
         rows = rows.withColumn("score", 0.7 * F.col("score") + 0.3 * keyword_similarity(F.array_distinct(keywords(F.col("content"))), words))
+    elif strategy == "metadata":
+        rows = rows.withColumn("score", 0.7 * F.col("score") + 0.3 * metadata_score(F.col("metadata"), wanted or {}))
+    elif strategy == "precision":
+        told = keyword_similarity(F.array_distinct(keywords(F.col("content"))), words)
+        same = F.when(F.lower("subject") == subject.lower(), 0.2).otherwise(0.0) if subject else F.lit(0.0)
+        rows = rows.withColumn("score", F.least(F.lit(1.0), 0.5 * F.col("score") + 0.3 * told + 0.2 * metadata_score(F.col("metadata"), wanted or {}) + same))
     elif strategy != "relevance":
         raise ValueError(f"unknown strategy: {strategy!r}")
     return rows.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def relation(score: Column, words: Column, values: Column) -> Column:
+    """How an item relates to a query: by what carried its score."""
+    return F.when((words >= 0.3) & (values >= 0.5), "exact").when(words >= 0.3, "same_words").when(values >= 0.5, "same_context").when(score >= 0.7, "alike").otherwise("loose")
+
+
 def batch_retrieve(items: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """query_id, id, score: the best items for each of a bounded set of queries (query_id, query), which is broadcast.
 

@@ -95,6 +95,17 @@ def test_status_is_filtered_before_the_limit(spark):
     assert [r.id for r in M.retrieve(items, F.array(F.lit(1.0)), now, limit=1).collect()] == [2]
 
 
+def test_metadata_and_precision(spark):
+    rows = [(1, "open locks", [1.0], 0.5, None, 0, None, "working", None, "p", '{"lang": "go"}'), (2, "other", [1.0], 0.5, None, 0, None, "working", None, None, None)]
+    items = spark.createDataFrame(rows, "id long, content string, vector array<float>, importance double, confidence double, access_count int, created_at timestamp, tier string, status string, subject string, metadata string")
+    now, query, words = F.lit("2024-01-01").cast("timestamp"), F.array(F.lit(1.0)), F.array(F.lit("locks"))
+    got = M.retrieve(items, query, now, "metadata", wanted={"lang": "Go"}).collect()
+    assert [(r.id, round(r.score, 6)) for r in got] == [(1, 1.0), (2, 0.7)]
+    got = M.retrieve(items, query, now, "precision", words=words, wanted={"lang": "go"}, subject="P").collect()
+    assert [(r.id, round(r.score, 6)) for r in got] == [(1, 1.0), (2, 0.5)]
+    assert items.limit(1).select(M.relation(F.lit(0.8), F.lit(0.1), F.lit(0.0))).collect()[0][0] == "alike"
+
+
 def test_aggregates_with_nulls(spark):
     df = spark.createDataFrame([("p", None, None, None, None), ("p", "a/b.py", "python", "rows", "2024-01-01T00:00:00Z")], "project_id string, file_path string, language string, content string, source_modified_at string")
     df = df.withColumn("content_type", F.lit(None).cast("string"))
