@@ -1,13 +1,14 @@
 """The k most similar vectors of every vector, by additive quantisation.
 
 Codebooks are full-dimensional: a vector is approximated by a sum of one word from each, found by beam search over the
-residuals; its code and the norm of the approximation are stored. The first words split the vectors into cells: a cell
-that would hold too many is split by the next word of the code, and so on. A query visits the cells whose centres are
-nearest to it; there, all members are scored at once by table lookup (inner products of the query with every word, and
-the stored norms), and the best are compared exactly.
+residuals; its code is stored. The first words split the vectors into cells: a cell that would hold too many is split by
+the next word of the code, and so on. A query visits the cells whose centres are nearest to it; there, all members are
+compared exactly, whatever the cell's size. (At these widths a matrix product costs less than scoring by table lookup, and
+quantisation errors are too large to rule members out.)
 
 How many cells are visited is set by measurement: a sample of queries is compared with all vectors by brute force, and
-the least number is taken that reaches `recall` on it. Cells are filled up to a size that doesn't grow with the data, so
+the least number is taken that reaches `recall` on it. A neighbour in a visited cell is always found, so the recall of the
+visits is that of the result. Cells are filled up to a size that doesn't grow with the data, so
 the work grows as the number of vectors while that number of cells does.
 """
 
@@ -28,7 +29,9 @@ TRAINING, PROBES = 65_536, 512
 #: Members of a cell on average, at most (before it is split), and queries brought to a cell in one task.
 CELL, FULL, VISITORS = 4_096, 12_288, 24_576
 BOOKS, WORDS, BEAM = 8, 256, 4
-#: Members compared exactly for each query and cell.
+#: Members of a cell compared with a block of queries at once; all of them are, one such portion after the other.
+PORTION = 16_384
+#: Limits nothing any more; the name stays for tests that set it.
 SHORTLIST = 128
 
 
@@ -66,11 +69,10 @@ class Codebooks:
             books.append(book)
         self.books = np.stack(books).astype(np.float32)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(coarse word, codes, squared norm of the approximation) by beam search."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(coarse word, codes) by beam search."""
         first = _nearest(x, self.coarse)
         codes = np.zeros((len(x), BOOKS), np.uint8)
-        norms = np.zeros(len(x), np.float32)
         for at in range(0, len(x), 2048):
             part = slice(at, at + 2048)
             n = len(x[part])
@@ -87,8 +89,7 @@ class Codebooks:
                 chosen = np.concatenate([np.take_along_axis(chosen, row[:, :, None], 1), word[:, :, None].astype(np.uint8)], axis=2)
             top = (rests**2).sum(2).argmin(1)
             codes[part] = chosen[np.arange(n), top]
-            norms[part] = ((x[part] - rests[np.arange(n), top]) ** 2).sum(1)
-        return first, codes, norms
+        return first, codes
 
 
 def unit_vectors(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +135,8 @@ def _encoder(books):
         for batch in batches:
             x = _unpack(batch.column("unit"))
             if len(x):
-                first, codes, norms = books.value.encode(x)
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("unit"), pa.array(first.astype(np.int32)), _binary(codes), pa.array(norms)], names=["key", "unit", "first", "code", "norm"])
+                first, codes = books.value.encode(x)
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("unit"), pa.array(first.astype(np.int32)), _binary(codes)], names=["key", "unit", "first", "code"])
 
     return encode
 
@@ -211,49 +212,35 @@ def _router(cells, visits: int):
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 own = cells.value.of(part.column("first").to_numpy(), _unpack(part.column("code"), np.uint8))
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("unit"), pa.array(own), pa.array(np.ones(len(own), bool)), part.column("code"), part.column("norm")], names=["key", "unit", "cell", "member", "code", "norm"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("unit"), pa.array(own), pa.array(np.ones(len(own), bool))], names=["key", "unit", "cell", "member"])
                 if visits > 1:
                     goes = cells.value.ranked(_unpack(part.column("unit")), own, visits)[:, 1:]
                     rows = pa.array(np.repeat(np.arange(len(own)), goes.shape[1]))
-                    none = pa.nulls(len(rows), pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column("key").take(rows), part.column("unit").take(rows), pa.array(goes.ravel()), pa.array(np.zeros(len(rows), bool)), none, pa.nulls(len(rows), pa.float32())], names=["key", "unit", "cell", "member", "code", "norm"])
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(rows), part.column("unit").take(rows), pa.array(goes.ravel()), pa.array(np.zeros(len(rows), bool))], names=["key", "unit", "cell", "member"])
 
     return route
 
 
-def search_cell(books: Codebooks, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, coarse: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, shortlist: int = SHORTLIST):
-    """(ids, similarities) of the best k of a cell's members for every query: lookup-table scoring, then exact."""
-    words = books.books.reshape(-1, books.books.shape[2])
-    places = codes.astype(np.int64) + np.arange(BOOKS) * WORDS
-    n = min(shortlist, len(ids))
-    keep = min(k, n)
+def search_cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
+    """(ids, similarities) of the best k of a cell's members for every query: all members are compared."""
+    keep = min(k, len(ids))
     out_ids, out = np.zeros((len(q), keep), np.int64), np.zeros((len(q), keep), np.float32)
-    base = np.unique(coarse)
-    step = max(64, min(512, 4_000_000 // max(len(ids), 1)))
-    for at in range(0, len(q), step):
-        block = q[at : at + step]
-        if n < len(ids):
-            table = np.ascontiguousarray((block @ words.T).T)
-            score = np.take(table, places[:, 0], axis=0)
-            more = np.empty_like(score)
-            for m in range(1, BOOKS):
-                np.take(table, places[:, m], axis=0, out=more, mode="clip")
-                score += more
-            score -= norms[:, None] / 2
-            if len(base) > 1:
-                score += books.coarse[coarse] @ block.T
-            best = np.argpartition(-score.T, n - 1, axis=1)[:, :n]
-        else:
-            best = np.broadcast_to(np.arange(len(ids)), (len(block), len(ids)))
-        exact = np.matmul(x[best], block[:, :, None])[:, :, 0]
-        exact[ids[best] == query_ids[at : at + step, None]] = -2
-        top = np.argsort(-exact, axis=1, kind="stable")[:, :keep]
-        out[at : at + step] = np.take_along_axis(exact, top, 1)
-        out_ids[at : at + step] = ids[np.take_along_axis(best, top, 1)]
+    for at in range(0, len(q), 512):
+        block, asks = q[at : at + 512], query_ids[at : at + 512, None]
+        best, who = np.zeros((len(block), 0), np.float32), np.zeros((len(block), 0), np.int64)
+        for start in range(0, len(ids), PORTION):
+            own = ids[start : start + PORTION]
+            scores = block @ x[start : start + PORTION].T
+            scores[asks == own] = -2
+            top = np.argpartition(-scores, min(keep, len(own)) - 1, axis=1)[:, :keep]
+            best, who = np.concatenate([best, np.take_along_axis(scores, top, 1)], 1), np.concatenate([who, own[top]], 1)
+            order = np.lexsort((who, -best))[:, :keep]
+            best, who = np.take_along_axis(best, order, 1), np.take_along_axis(who, order, 1)
+        out[at : at + 512], out_ids[at : at + 512] = best, who
     return out_ids, out
 
 
-def _searcher(books, k: int):
+def _searcher(k: int):
     def search(table: pa.Table) -> pa.Table:
         member = table.column("member").to_numpy(zero_copy_only=False).astype(bool)
         keys, units = table.column("key").to_numpy(), _unpack(table.column("unit"))
@@ -262,9 +249,7 @@ def _searcher(books, k: int):
         if not len(rows) or not asks.any():
             return pa.table({"q": pa.array([], pa.int64()), "keys": pa.array([], pa.list_(pa.int64())), "similarities": pa.array([], pa.list_(pa.float32()))})
         order = rows[np.argsort(keys[rows], kind="stable")]
-        codes = _unpack(table.column("code").take(pa.array(order)), np.uint8)
-        norms, coarse = (table.column(c).take(pa.array(order)).to_numpy() for c in ("norm", "first"))
-        found, similar = search_cell(books.value, keys[order], units[order], codes, norms, coarse.astype(np.int64), keys[asks], units[asks], k)
+        found, similar = search_cell(keys[order], units[order], keys[asks], units[asks], k)
         offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
         return pa.table({"q": keys[asks], "keys": pa.ListArray.from_arrays(offsets, pa.array(found.ravel())), "similarities": pa.ListArray.from_arrays(offsets, pa.array(similar.ravel()))})
 
@@ -304,7 +289,7 @@ class Neighbours:
         sample = near.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id").limit(TRAINING).select("key", "unit").toArrow()
         keys, train = sample.column("key").to_numpy(), _unpack(sample.column("unit"))
         books = context.broadcast(Codebooks(train, int(np.clip(round(self.count / CELL), 1, 16_384))))
-        coded = self.vectors.select("key", "unit").mapInArrow(_encoder(books), "key long, unit binary, first int, code binary, norm float")
+        coded = self.vectors.select("key", "unit").mapInArrow(_encoder(books), "key long, unit binary, first int, code binary")
         coded = self.scratch.write(coded, "coded")
         prefix = [F.col("first")]
         big = coded.groupBy("first").count().filter(F.col("count") > FULL).limit(1).count()
@@ -319,7 +304,7 @@ class Neighbours:
         truth = truth.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "key"))).filter(F.col("n") <= k)
         truth = truth.join(coded.select("key", "first", "code"), "key").select("q", "first", "code").toArrow()  # PROBES * k rows
         place = {int(x): i for i, x in enumerate(keys[:PROBES])}
-        own = cells.of(*books.value.encode(train[:PROBES])[:2])
+        own = cells.of(*books.value.encode(train[:PROBES]))
         order = cells.ranked(train[:PROBES], own, len(cells.centres))
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1], dtype=np.int32), order.shape).copy(), 1)
@@ -328,14 +313,7 @@ class Neighbours:
         self.visits = int(np.sort(ranks)[min(int(np.ceil(recall * len(ranks))), len(ranks)) - 1]) + 1
         self.recall_of_visits = float((ranks < self.visits).mean())
 
-        routed = coded.mapInArrow(_router(shared, self.visits), "key long, unit binary, cell int, member boolean, code binary, norm float")
-        # a leaf has one coarse word, the first of its prefix
-        words = F.array(*(F.lit(int(p[0])) for p in cells.leaves)) if len(cells.leaves) <= 64 else None
-        if words is not None:
-            routed = routed.withColumn("first", F.element_at(words, F.col("cell") + 1))
-        else:
-            table = self.spark.createDataFrame([(i, int(p[0])) for p, i in cells.leaves.items()], "cell int, first int")
-            routed = routed.join(F.broadcast(table), "cell")  # one row a leaf
+        routed = coded.mapInArrow(_router(shared, self.visits), "key long, unit binary, cell int, member boolean")
         # cells that many queries visit are searched in parts: each has all members and a share of the queries
         loads = routed.groupBy("cell").agg(F.count("*").alias("n"))
         heavy = {r.cell: -(-r.n // VISITORS) for r in loads.filter(F.col("n") > VISITORS).collect()}  # at most one a leaf
@@ -346,8 +324,8 @@ class Neighbours:
             home = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
             where = F.when(F.col("member"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(home))
             routed = routed.withColumn("home", home).withColumn("part", F.explode(where)).withColumn("asks", F.col("part") == F.col("home"))
-        routed = routed.select("cell", "part", "key", "unit", "member", "asks", "code", "norm", "first")
-        found = routed.groupBy("cell", "part").applyInArrow(_searcher(books, k), "q long, keys array<long>, similarities array<float>")
+        routed = routed.select("cell", "part", "key", "unit", "member", "asks")
+        found = routed.groupBy("cell", "part").applyInArrow(_searcher(k), "q long, keys array<long>, similarities array<float>")
         pairs = found.groupBy("q").agg(F.collect_list(F.arrays_zip("keys", "similarities")).alias("x"))  # `visits` short lists each
         pairs = pairs.select("q", F.filter(F.flatten("x"), lambda p: p["similarities"] > -2).alias("x"))
         best = F.slice(F.array_sort("x", lambda a, b: F.when(a["similarities"] > b["similarities"], -1).when(a["similarities"] < b["similarities"], 1).when(a["keys"] < b["keys"], -1).when(a["keys"] > b["keys"], 1).otherwise(0)), 1, k)

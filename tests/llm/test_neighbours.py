@@ -46,6 +46,30 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert all(abs(c - s[ids.index(i), ids.index(n)]) < 1e-4 for i in ids[:50] for n, c in got[i])
 
 
+def test_recall_where_a_third_is_one_dense_region(spark):
+    x = clustered(3000, width=64)
+    rng = np.random.default_rng(5)
+    x[::3] = rng.normal(size=64) + 0.03 * rng.normal(size=x[::3].shape)  # near copies, none equal to another
+    ids = [f"v{i:04}" for i in range(len(x))]
+    search = Neighbours(frame(spark, ids, x).repartition(6))
+    got = {}
+    for r in search.pairs().collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    truth, _ = brute(ids, x, 5)
+    recall = [len(got[i] & set(truth[i])) / 5 for i in ids]
+    assert search.recall_of_visits >= 0.95 and np.mean(recall) >= 0.93 and np.mean(recall[::3]) >= 0.93
+
+
+def test_every_member_of_a_cell_is_compared(monkeypatch):
+    monkeypatch.setattr(module, "PORTION", 100)
+    x = clustered(1030, clusters=3).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(len(x))
+    truth, s = brute(ids, x, 5)
+    found, similar = module.search_cell(ids, x, ids[:600], x[:600], 5)
+    assert all(set(found[i]) == set(truth[i]) for i in range(600)) and np.allclose(similar[:, 0], s[:600].max(1), atol=1e-5)
+
+
 def test_equal_vectors_faults_and_ties(spark):
     x = list(clustered(30))
     ids = [f"v{i:02}" for i in range(30)]
