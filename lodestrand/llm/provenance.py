@@ -11,7 +11,8 @@ its files:
 
 A header that says where the file comes from, a generator's or vendor's folder, numbered sections and lines of one- and
 two-letter names complete the evidence; a statement counts only where a comment opens with it, so that code that merely
-talks about generated or vendored files stays hand-written.
+talks about generated or vendored files stays hand-written. Statements are looked for in the whole file, its foot too, but
+not inside a region that comments open and close (`begin x` to `end x`): they speak of that region only.
 """
 
 from __future__ import annotations
@@ -72,11 +73,25 @@ _STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`")
 _NUMBER = re.compile(r"(?<![\w.$])[-+]?(?:0[xX][0-9a-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)")
 _NAME = re.compile(r"(?<![\w$])(?!(?:" + "|".join(KEYWORDS) + r")(?![\w$]))[A-Za-z_$][\w$]*")
 _IMPORT = re.compile(r"\s*(?:import|from|use|package|require|include|#include|using)\b")
+_BEGIN = re.compile(r"(?i)\W*begin\b(?:\s+of\b)?\W*(\w*)|\#?(region)\b")
+_END = re.compile(r"(?i)\W*end\b(?:\s+of\b)?\W*(\w*)|\#?(?:end)(region)\b")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def _comments(lines: list[str]) -> list[str]:
-    return [m.group(1) for line in lines if (m := _COMMENT.match(line.strip()))]
+    """The comments among the lines, without those inside a region that is opened and closed."""
+    found = [m.group(1) for line in lines if (m := _COMMENT.match(line.strip()))]
+    closed: dict[str, list[int]] = {}
+    for i, c in enumerate(found):
+        if m := _END.match(c):
+            closed.setdefault((m.group(1) or m.group(2) or "").lower(), []).append(i)
+    out, skip = [], -1
+    for i, c in enumerate(found):
+        if i > skip and closed and (m := _BEGIN.match(c)):
+            skip = next((e for e in closed.get((m.group(1) or m.group(2) or "").lower(), ()) if e > i), skip)
+        if i > skip:
+            out.append(c)
+    return out
 
 
 def stated(lines: list[str], *patterns: re.Pattern) -> bool:
@@ -108,7 +123,6 @@ class Facts:
 
     def __init__(self, path: str, text: str):
         lines = [x for x in text.replace("\r", "\n").split("\n") if x.strip()]
-        head = lines[:80]
         body = [x for x in lines if not _COMMENT.match(x.strip()) and not _IMPORT.match(x)]
         code = "\n".join(body)
         bare, _ = _STRING.subn("S", code)
@@ -125,8 +139,8 @@ class Facts:
         tokens = _TOKEN.findall(masked)
         self.fresh = _fresh(tokens, 32) if len(tokens) >= 64 else 1.0
         self.numbered = numbered(lines)
-        self.says_generated = stated(head, GENERATED, GENERATED_ABROAD)
-        self.says_vendored = stated(head, VENDORED)
+        self.says_generated = stated(lines, GENERATED, GENERATED_ABROAD)
+        self.says_vendored = stated(lines, VENDORED)
         self.generated_path = bool(GENERATED_PATH.search(path or ""))
         self.vendor_path = bool(VENDOR_PATH.search(path or ""))
 

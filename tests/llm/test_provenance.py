@@ -41,6 +41,17 @@ def test_statements(line, generated, vendored):
     assert (facts.says_generated, facts.says_vendored) == (generated, vendored)
 
 
+def test_statements_anywhere_but_in_regions():
+    long, line = hand(20), "# Code generated by foo. DO NOT EDIT.\n"
+    assert long.count("\n") > 160
+    says = lambda text: Facts("src/a.py", text).says_generated
+    assert says(long + line) and says(hand(3) + line) and says(long + line + long)
+    assert Facts("src/a.py", long + "# upstream: foo@1.2.3\n").says_vendored
+    for begin, end in (("# ---- begin table (1/1) ----\n", "# ---- end table ----\n"), ("# region table\n", "# endregion\n"), ("#region\n", "#endregion\n")):
+        assert not says(long + begin + line + long + end + long) and not says(begin + line + end)
+        assert says(begin + long + end + line) and says(begin + line)  # after the region; a region that never ends is none
+
+
 def test_verdicts(spark):
     shared = hand(20)
     rows = [
