@@ -2,7 +2,8 @@
 
 A file's text is masked: comments apart, strings become S, numbers N and identifiers I, keywords and signs stay. Five
 consecutive masked lines make a shingle. Files are clustered by MinHash banding over these shingles; in a bucket every
-file is compared with the bucket's first only, and a link counts after exact verification. What a cluster says depends on
+file is compared with the bucket's first, then with all files of the bucket that this has left in other clusters, and a link
+counts after exact verification. What a cluster says depends on
 its files:
 
 - files whose masked text repeats itself and whose family lies within repositories come from a generator;
@@ -253,12 +254,32 @@ def _clusters(scratch: Scratch, facts: DataFrame, name: str, kind: str, sets: st
     buckets = scratch.write(buckets, f"{name}-buckets")
     firsts = buckets.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("band", "first")
     links = scratch.write(buckets.join(firsts, "band").filter("doc_id <> first").select("doc_id", "first").distinct(), f"{name}-links")
+    held = facts.select("doc_id", F.col(sets).alias("s"))
+    verified = scratch.write(_verified(held, links), f"{name}-verified")
+    found = components(verified)
+    # pairs that share a bucket but not a cluster yet: all are compared, unless their sizes rule them out
+    several = buckets.join(firsts.select("band"), "band", "left_semi").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    several = several.withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = several.groupBy("band").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed").select("band")
+    several = several.join(mixed, "band", "left_semi").join(facts.select("doc_id", F.size(sets).alias("size")), "doc_id")
+    several = scratch.write(several, f"{name}-several")
+    others = several.select("band", F.col("doc_id").alias("first"), F.col("component").alias("other"), F.col("size").alias("fsize"))
+    near = F.least("size", "fsize") >= SIMILARITY * F.greatest("size", "fsize")
+    pairs = several.join(others, "band").filter((F.col("first") < F.col("doc_id")) & (F.col("component") != F.col("other")) & near)
+    more = scratch.write(pairs.select("doc_id", "first").distinct(), f"{name}-pairs")
+    more = scratch.write(_verified(held, more), f"{name}-more")
+    if more.limit(1).count():
+        found = components(verified.unionByName(more))
+    return classes.join(found.select(F.col("node").alias("leader"), F.col("component").alias("cluster")), "leader", "left").select(kind, F.coalesce("cluster", "leader").alias("cluster"))
+
+
+def _verified(held: DataFrame, links: DataFrame) -> DataFrame:
+    """a, b: the links (doc_id, first) whose sets in held (doc_id, s) have a similarity of at least SIMILARITY."""
     ends = links.select(F.explode(F.array("doc_id", "first")).alias("doc_id")).distinct()
-    held = facts.select("doc_id", F.col(sets).alias("s")).join(ends, "doc_id", "left_semi")
+    held = held.join(ends, "doc_id", "left_semi")
     both = F.size(F.array_intersect("s", "fs"))
     verified = links.join(held, "doc_id").join(held.select(F.col("doc_id").alias("first"), F.col("s").alias("fs")), "first").filter(both >= SIMILARITY * (F.size("s") + F.size("fs") - both))
-    found = components(verified.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    return classes.join(found.select(F.col("node").alias("leader"), F.col("component").alias("cluster")), "leader", "left").select(kind, F.coalesce("cluster", "leader").alias("cluster"))
+    return verified.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
 
 def provenance(files: DataFrame) -> DataFrame:

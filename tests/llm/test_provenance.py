@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.llm.provenance import Facts, provenance, source_files
+from lodestrand.llm.provenance import Facts, _clusters, provenance, source_files
+from lodestrand.plans.scratch import Scratch
 
 rng = random.Random(11)
 WORDS = "alpha beta gamma delta river stone cloud paper engine signal basket candle window mirror pocket ladder".split()
@@ -72,6 +73,16 @@ def test_hot_family_and_empty_table(spark):
     assert provenance(df.filter("false")).count() == 0
 
 
+def test_every_pair_of_a_bucket_counts(spark):
+    own = lambda a, b: list(range(a, b))
+    sets = {"a": own(0, 100), "b": own(40, 140), "c": own(41, 141), "d": own(200, 300), "e": own(210, 310), "f": own(220, 320), "g": own(500, 600)}
+    # in one bucket: b and c are alike, the first is not; e is like d and f, which are not alike
+    rows = [(k, k.encode(), v, [1, 2] if k in "abc" else [3]) for k, v in sets.items()]
+    facts = spark.createDataFrame(rows, "doc_id string, alike binary, shingles array<long>, bands array<long>")
+    got = {bytes(r.alike).decode(): r.cluster for r in _clusters(Scratch(spark), facts, "family", "alike", "shingles", "bands").collect()}
+    assert got == {"a": "a", "b": "b", "c": "b", "d": "d", "e": "d", "f": "d", "g": "g"}
+
+
 def test_source_files(spark):
     rows = [
         ("c0", "d", "p", "a.py", "python", "one", 0, "2024-01-01T00:00:00Z"), ("c0", "d", "p", "a.py", "python", "newer", 0, "2024-01-01T00:00:01+00:00"), ("c1", "d", "p", "a.py", "", "two", 1, "2024-01-01T00:00:00Z"),
