@@ -139,10 +139,17 @@ def imported_names(files: DataFrame) -> DataFrame:
 
 
 def class_bases(files: DataFrame) -> DataFrame:
-    """Classes with their bases: path, kind, name, base."""
-    python = _found(files.filter("language = 'python'"), r"(?m)^\s*class\s+(\w+)\s*\(\s*([\w.]+)", {"name": 1, "base": 2}, "python")
-    others = _found(files.filter(F.col("language").isin("java", "typescript", "javascript")), r"\bclass\s+(\w+)(?:<[^>]*>)?\s+extends\s+([\w.]+)", {"name": 1, "base": 2}, "extends")
-    return python.unionByName(others).distinct()
+    """Classes with all their bases and interfaces: path, kind, name, base; without type arguments and keyword arguments."""
+    python = _found(files.filter("language = 'python'"), r"(?m)^\s*class\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*)\)", {"name": 1, "bases": 2}, "python")
+    named = r"[\w.]+(?:\s*<[^<>]*(?:<[^<>]*>[^<>]*)*>)?"
+    pattern = rf"\bclass\s+(\w+)(?:\s*<[^>]*>)?\s+((?:extends|implements)\s+{named}(?:\s*(?:,|\bimplements\b)\s*{named})*)"
+    others = _found(files.filter(F.col("language").isin("java", "typescript", "javascript")), pattern, {"name": 1, "bases": 2}, "extends")
+    bases = F.regexp_replace("bases", r"#[^\n]*", "")
+    for _ in range(4):  # arguments inside arguments
+        bases = F.regexp_replace(bases, r"\[[^\[\]]*\]|\([^()]*\)|<[^<>]*>", "")
+    bases = F.split(F.regexp_replace(bases, r"\b(?:extends|implements)\s", ","), ",")
+    rows = python.unionByName(others).select("path", "kind", "name", F.explode(bases).alias("base"))
+    return rows.withColumn("base", F.regexp_replace("base", r"\s+", "")).filter(F.col("base").rlike(r"^[\w.]+$")).distinct()
 
 
 def salesforce_fields(files: DataFrame) -> DataFrame:

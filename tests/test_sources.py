@@ -123,3 +123,11 @@ def test_plugins():
     assert box.get("a") == 3
     with pytest.raises(KeyError):
         box.get("b")
+
+
+def test_all_bases_of_a_class(spark):
+    from lodestrand.sources import files
+
+    rows = [("a.py", "class A(B, m.C[int, str], D(x, y), metaclass=E):\n  pass\nclass F(\n    G,\n    H,\n):\n", "python"), ("a.java", "class A<T> extends B<C, D<E>> implements F<G>, H {}\nclass I implements J {}", "java")]
+    got = {(r.path, r.name, r.base) for r in files.class_bases(spark.createDataFrame(rows, "path string, text string, language string")).collect()}
+    assert got == {("a.py", "A", "B"), ("a.py", "A", "m.C"), ("a.py", "A", "D"), ("a.py", "F", "G"), ("a.py", "F", "H"), ("a.java", "A", "B"), ("a.java", "A", "F"), ("a.java", "A", "H"), ("a.java", "I", "J")}
