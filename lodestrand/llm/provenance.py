@@ -1,25 +1,26 @@
 """Source files that nobody here wrote by hand: generated, minified, third-party or data stored as code.
 
-A file's text is masked: comments apart, strings become S, numbers N and identifiers I, keywords and signs stay. Five
-consecutive masked lines make a shingle. Files are clustered by MinHash banding over these shingles; in a bucket every
-file is compared with the bucket's first, then with all files of the bucket that this has left in other clusters, and a link
-counts after exact verification. What a cluster says depends on
-its files:
-
-- files whose masked text repeats itself and whose family lies within repositories come from a generator;
-- clusters across repositories, verified again on the words themselves, are third-party copies;
-- files that are literals and little else are data.
-
-A header that says where the file comes from, a generator's or vendor's folder, numbered sections and lines of one- and
-two-letter names complete the evidence; a statement counts only where a comment opens with it, so that code that merely
-talks about generated or vendored files stays hand-written. Statements are looked for in the whole file, its foot too, but
-not inside a region that comments open and close (`begin x` to `end x`): they speak of that region only.
+A file's text is masked: comments apart, strings become S, numbers N and identifiers I, keywords and signs stay. RUN
+consecutive masked tokens make a shingle. What a file repeats (shingles it holds REPEATS times or more) is its template, if
+that covers COVER of it at least; templates are clustered by MinHash banding with exact verification, into families. A
+family of two files or more decides on its members by what they hold on average:
+
+- names of one or two letters on long lines: minified;
+- literals and little else: data;
+- anything else: the output of a generator, as people don't repeat themselves alike in several files.
+
+Clusters of the five-word shingles of unmasked texts that span repositories are third-party copies.
+
+A file may be the only one of its generator or the only copy here. Such a file is judged by its own text (the same averages,
+of itself; runs of masked tokens that return; counters), by a statement of its origin and by its folder. A statement counts
+only where a comment opens with it, so that code that merely talks about generated or vendored files stays hand-written.
+Statements are looked for in the whole file, its foot too, but not inside a region that comments open and close (`begin x`
+to `end x`): they speak of that region only.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +34,17 @@ from lodestrand.plans.scratch import Scratch
 from lodestrand.sources.tables import instant
 
 WIDTH, SIMILARITY = 5, 0.8
+#: Masked tokens of a shingle, how often a file holds a shingle of its template, and how much of the file these cover.
+RUN, REPEATS, COVER = 20, 3, 0.5
 #: At a similarity of 0.8 two files share a bucket with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9994, at 0.3 with 0.003.
 BANDS, ROWS = 40, 8
 #: A file is data if literals hold this share of it, minified if this share of its names is at most two letters long on
 #: lines of at least LONG characters on average, templated if fewer than FRESH of its runs of 32 masked tokens are new.
 LITERAL, SHORT, LONG, FRESH = 0.65, 0.5, 160, 0.40
-#: With a generator's header, folder or family around it, a file is templated below this.
-FRESH_AIDED = 0.75
+#: The files of a generator's family have fewer new runs than this on average.
+FRESH_FAMILY = 0.45
+#: Characters, names and runs that a file is taken to have besides its own, none of them telling: short texts say little.
+SOLID, NAMES, RUNS = 60, 10, 16
 
 # ---- fixed values: keywords kept by the mask, folders, and openings of comments that tell a file's origin
 KEYWORDS = """abstract async await break case catch class const continue def default del do elif else enum except export extends final
@@ -101,22 +106,21 @@ def stated(lines: list[str], *patterns: re.Pattern) -> bool:
 
 
 def numbered(lines: list[str]) -> float:
-    """Share of lines that carry a counter: lines alike but for names and numbers, whose first number that changes goes up by one."""
-    runs: dict[str, list[int]] = {}
-    counted = 0
-    best: Counter = Counter()
+    """Share of lines that carry a counter: lines alike but for names and numbers, one of whose numbers goes up by one."""
+    last: dict[tuple[str, int], list[int]] = {}
+    best = 0
     for line in lines:
         numbers = re.findall(r"\d+", line)
         if not numbers:
             continue
-        for place, n in enumerate(numbers[:3]):
-            key = f"{place}:{re.sub(r'[A-Za-z_$][A-Za-z_$]*', 'I', re.sub(r'[0-9]+', 'N', line.strip()))[:80]}"
-            held = runs.setdefault(key, [int(n[:9]), 1])
-            if int(n[:9]) == held[0] + 1:
-                held[0], held[1] = int(n[:9]), held[1] + 1
-                best[key] = max(best[key], held[1])
-    counted = max(best.values(), default=0)
-    return counted / max(len(lines), 1) if counted >= 8 else 0.0
+        form = re.sub(r"[A-Za-z_$]+", "I", re.sub(r"[0-9]+", "N", line.strip()))
+        for place, n in enumerate(numbers):
+            n = int(n) if len(n) < 4_000 else 0  # longer ones are no counters (and Python won't read them)
+            held = last.setdefault((form, place), [n, 1])
+            if n == held[0] + 1:
+                held[0], held[1] = n, held[1] + 1
+                best = max(best, held[1])
+    return best / max(len(lines), 1) if best >= 8 else 0.0
 
 
 class Facts:
@@ -128,58 +132,48 @@ class Facts:
         code = "\n".join(body)
         bare, _ = _STRING.subn("S", code)
         plain = _NUMBER.sub("N", bare)
-        solid = max(len(re.sub(r"\s", "", code)), 1)
+        solid = len(re.sub(r"\s", "", code))
         kept = len(re.sub(r"[\sSN]|[,;:\[\]{}()+]", "", plain))
-        names = re.findall(r"[A-Za-z_$][\w$]*", plain)
-        names = [x for x in names if x not in ("S", "N")]
-        self.literal = 1 - kept / solid if solid > 200 else 0.0
-        self.short = sum(len(x) <= 2 for x in names) / len(names) if len(names) >= 30 else 0.0
+        names = [x for x in re.findall(r"[A-Za-z_$][\w$]*", plain) if x not in ("S", "N")]
+        self.literal = (solid - kept) / (solid + SOLID)
+        self.short = sum(len(x) <= 2 for x in names) / (len(names) + NAMES)
         self.width = sum(map(len, body)) / max(len(body), 1)
-        masked = _NAME.sub("I", plain)
-        self.lines = [re.sub(r"\s+", " ", x).strip() for x in masked.split("\n")]
-        tokens = _TOKEN.findall(masked)
-        self.fresh = _fresh(tokens, 32) if len(tokens) >= 64 else 1.0
+        tokens = _TOKEN.findall(_NAME.sub("I", plain))
+        known: dict[str, int] = {}
+        self.ids = np.fromiter((known.setdefault(t, len(known)) for t in tokens), np.int64, len(tokens))
+        self.vocabulary = _token_hashes(list(known))
+        runs = self._runs(32)
+        self.fresh = (len(np.unique(runs)) + RUNS) / (len(runs) + RUNS)
         self.numbered = numbered(lines)
         self.says_generated = stated(lines, GENERATED, GENERATED_ABROAD)
         self.says_vendored = stated(lines, VENDORED)
         self.generated_path = bool(GENERATED_PATH.search(path or ""))
         self.vendor_path = bool(VENDOR_PATH.search(path or ""))
+        self.template, self.cover = self._template()
 
-    def shingles(self) -> np.ndarray:
-        if not any(self.lines):
-            return np.zeros(0, np.uint64)
-        hashes = _line_hashes(self.lines)
-        if len(hashes) < WIDTH:
-            hashes = np.concatenate([hashes, np.zeros(WIDTH - len(hashes), np.uint64)])
-        run = np.zeros(len(hashes) - WIDTH + 1, np.uint64)
-        for i in range(WIDTH):
-            run = run * np.uint64(BASE) + hashes[i : len(hashes) - WIDTH + 1 + i]
-        return np.unique(mix(run))
-
-
-def _line_hashes(lines: list[str]) -> np.ndarray:
-    """Order-dependent hashes of masked lines, signs included."""
-    known: dict[str, int] = {}
-    places = np.fromiter((known.setdefault(x, len(known)) for x in lines), np.int64, len(lines))
-    coded = [x.encode() for x in known]
-    values = np.zeros(len(coded), np.uint64)
-    for i, c in enumerate(coded):
-        b = np.frombuffer(c, np.uint8).astype(np.uint64)
-        powers = np.full(len(b), BASE, np.uint64)
-        values[i] = (np.multiply.accumulate(powers) * (b + np.uint64(1))).sum(dtype=np.uint64) if len(b) else 0
-    return mix(values)[places]
-
-
-def _fresh(tokens: list[str], width: int) -> float:
-    known: dict[str, int] = {}
-    ids = np.fromiter((known.setdefault(t, len(known)) for t in tokens), np.uint64, len(tokens))
-    n = len(ids) - width + 1
-    if n <= 0:
-        return 1.0
-    run = np.zeros(n, np.uint64)
-    for i in range(width):
-        run = run * np.uint64(BASE) + mix(ids[i : i + n] + np.uint64(1))
-    return len(np.unique(run)) / n
+    def _runs(self, width: int) -> np.ndarray:
+        """Hash of each run of so many masked tokens."""
+        hashes = self.vocabulary[self.ids]
+        run = np.zeros(max(len(hashes) - width + 1, 0), np.uint64)
+        for i in range(width if len(run) else 0):
+            run = run * np.uint64(BASE) + hashes[i : i + len(run)]
+        return mix(run)
+
+    def _template(self) -> tuple[np.ndarray, float]:
+        """(distinct shingles of the template, share of the tokens in them); no shingles where they cover too little."""
+        runs = self._runs(RUN)
+        shingles, back, counts = np.unique(runs, return_inverse=True, return_counts=True)
+        often = counts >= REPEATS
+        cover = float(often[back].sum()) / max(len(self.ids), 1) if len(runs) else 0.0
+        return (shingles[often] if cover >= COVER else shingles[:0]), cover
+
+
+def _token_hashes(tokens: list[str]) -> np.ndarray:
+    values = np.zeros(len(tokens), np.uint64)
+    for i, token in enumerate(tokens):
+        b = np.frombuffer(token.encode("utf-8", "replace"), np.uint8).astype(np.uint64)
+        values[i] = (np.multiply.accumulate(np.full(len(b), BASE, np.uint64)) * (b + np.uint64(1))).sum(dtype=np.uint64)
+    return mix(values)
 
 
 #: Odd multipliers: the shingles are mixed already, so a product modulo 2**64 is as good as another hash.
@@ -202,12 +196,12 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return key
 
 
-_FACTS = "doc_id string, project_id string, literal double, short double, width double, fresh double, numbered double, says_generated boolean, says_vendored boolean, generated_path boolean, vendor_path boolean, shingles array<long>, words array<long>, alike binary, same binary, bands array<long>, word_bands array<long>"
+_FACTS = "doc_id string, project_id string, literal double, short double, width double, fresh double, numbered double, cover double, says_generated boolean, says_vendored boolean, generated_path boolean, vendor_path boolean, shingles array<long>, words array<long>, alike binary, same binary, bands array<long>, word_bands array<long>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _FACTS.split(", ")]
-    kinds = [pa.string()] * 2 + [pa.float64()] * 5 + [pa.bool_()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()] * 2 + [pa.list_(pa.int64())] * 2
+    kinds = [pa.string()] * 2 + [pa.float64()] * 6 + [pa.bool_()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()] * 2 + [pa.list_(pa.int64())] * 2
     for batch in batches:
         ids, projects, paths, texts = (batch.column(i).to_pylist() for i in range(4))
         for start, stop in portions(texts):
@@ -215,11 +209,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for i in range(start, stop):
                 facts = Facts(paths[i], texts[i] or "")
-                shingles = facts.shingles()
+                shingles = facts.template
                 own = words[to[i - start] : to[i - start + 1]]
                 out.append(
                     (
-                        ids[i], projects[i], facts.literal, facts.short, facts.width, facts.fresh, facts.numbered, facts.says_generated, facts.says_vendored, facts.generated_path, facts.vendor_path,
+                        ids[i], projects[i], facts.literal, facts.short, facts.width, facts.fresh, facts.numbered, facts.cover, facts.says_generated, facts.says_vendored, facts.generated_path, facts.vendor_path,
                         shingles.view(np.int64), own.view(np.int64), signature(shingles), signature(own), bands(shingles).view(np.int64), bands(own).view(np.int64),
                     )
                 )
@@ -241,35 +235,45 @@ def source_files(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("project_id").alias("project_id"), F.min("file_path").alias("file_path"), F.array_join(F.transform(parts, lambda x: x["content"]), "\n").alias("text"))
 
 
+#: Of a bucket whose files aren't all in one cluster yet, so many times more files than before are compared with all others.
+FURTHER = 8
+
+
 def _clusters(scratch: Scratch, facts: DataFrame, name: str, kind: str, sets: str, keys: str) -> DataFrame:
     """(kind, cluster): for every set of `sets`, known by its signature `kind`, the smallest doc_id of its cluster.
 
     Files with one set are one class from the start, led by their smallest doc_id, and only leaders are put into buckets.
-    Files with an empty set are a class like any other.
+    Files with an empty set are a class like any other. A bucket's first file is compared with all others, then, where the
+    bucket still holds several clusters, the next FURTHER with those of other clusters, and so on: every pair that shares a
+    bucket ends up in one cluster or compared, unless the sizes rule it out, but never are all pairs of a bucket made at once.
     """
     classes = facts.groupBy(kind).agg(F.min("doc_id").alias("leader"))
     classes = scratch.write(classes, f"{name}-classes")
     leaders = classes.select(F.col("leader").alias("doc_id"))
-    buckets = facts.select("doc_id", keys).join(leaders, "doc_id", "left_semi").select("doc_id", F.explode(keys).alias("band"))
-    buckets = scratch.write(buckets, f"{name}-buckets")
-    firsts = buckets.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("band", "first")
-    links = scratch.write(buckets.join(firsts, "band").filter("doc_id <> first").select("doc_id", "first").distinct(), f"{name}-links")
+    buckets = facts.select("doc_id", F.size(sets).alias("size"), keys).join(leaders, "doc_id", "left_semi").select("doc_id", "size", F.explode(keys).alias("band"))
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    nth = F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))
+    buckets = scratch.write(buckets.join(shared, "band", "left_semi").withColumn("nth", nth), f"{name}-buckets")
+    most = buckets.agg(F.max("nth")).first()[0] or 0
     held = facts.select("doc_id", F.col(sets).alias("s"))
-    verified = scratch.write(_verified(held, links), f"{name}-verified")
-    found = components(verified)
-    # pairs that share a bucket but not a cluster yet: all are compared, unless their sizes rule them out
-    several = buckets.join(firsts.select("band"), "band", "left_semi").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    several = several.withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = several.groupBy("band").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed").select("band")
-    several = several.join(mixed, "band", "left_semi").join(facts.select("doc_id", F.size(sets).alias("size")), "doc_id")
-    several = scratch.write(several, f"{name}-several")
-    others = several.select("band", F.col("doc_id").alias("first"), F.col("component").alias("other"), F.col("size").alias("fsize"))
-    near = F.least("size", "fsize") >= SIMILARITY * F.greatest("size", "fsize")
-    pairs = several.join(others, "band").filter((F.col("first") < F.col("doc_id")) & (F.col("component") != F.col("other")) & near)
-    more = scratch.write(pairs.select("doc_id", "first").distinct(), f"{name}-pairs")
-    more = scratch.write(_verified(held, more), f"{name}-more")
-    if more.limit(1).count():
-        found = components(verified.unionByName(more))
+    below, to, links = 0, 1, None
+    found = buckets.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).filter("false")
+    open_ = buckets.withColumn("component", F.col("doc_id"))
+    while below < most:
+        firsts = open_.filter((F.col("nth") > below) & (F.col("nth") <= to)).select("band", F.col("doc_id").alias("first"), F.col("component").alias("other"), F.col("size").alias("fsize"), F.col("nth").alias("fnth"))
+        near = F.least("size", "fsize") >= SIMILARITY * F.greatest("size", "fsize")
+        pairs = open_.join(firsts, "band").filter((F.col("nth") > F.col("fnth")) & (F.col("component") != F.col("other")) & near)
+        pairs = scratch.write(pairs.select("doc_id", "first").distinct(), f"{name}-pairs{to}")
+        new = scratch.write(_verified(held, pairs), f"{name}-verified{to}")
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            found = components(links)
+        below, to = to, to * FURTHER
+        if below < most:
+            placed = buckets.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            mixed = placed.groupBy("band").agg((F.min("component") < F.max("component")).alias("mixed"), F.max("nth").alias("n")).filter(F.col("mixed") & (F.col("n") > below)).select("band")
+            open_ = scratch.write(placed.join(mixed, "band", "left_semi"), f"{name}-open{to}")
+            most = open_.agg(F.max("nth")).first()[0] or 0
     return classes.join(found.select(F.col("node").alias("leader"), F.col("component").alias("cluster")), "leader", "left").select(kind, F.coalesce("cluster", "leader").alias("cluster"))
 
 
@@ -283,32 +287,40 @@ def _verified(held: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def provenance(files: DataFrame) -> DataFrame:
-    """One row per file (doc_id, project_id, file_path, text): its facts, family, and verdict.
+    """One row per file (doc_id, project_id, file_path, text): its facts, family, verdict and what that rests on.
 
-    family names the smallest doc_id of its cluster, family_files and family_projects count its members here and the
-    projects it spans; copy_projects counts projects that hold the same words (similarity of 0.8 or more). verdict is
-    minified, data, generated, vendored or null for hand-written files, in that order of precedence. Null texts are
-    empty texts; an empty or blank file is hand-written; a repeated doc_id counts as one more file.
+    family names the smallest doc_id of the cluster of its template (itself where it has none), family_size, family_files and
+    family_projects count the cluster's files, those in the file's project, and the projects; copy_projects counts projects
+    that hold the same words (similarity of 0.8 or more). verdict is minified, data, generated, vendored or null for
+    hand-written files; evidence is family, copies, text, statement or path, the first that holds. Null texts are empty texts; an empty or
+    blank file is hand-written; null doc_ids drop out, and of rows with one doc_id any counts.
     """
     scratch = Scratch(files.sparkSession)
     rows = files.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("project_id", F.lit("")).alias("project_id"), "file_path", "text").filter("doc_id is not null")
-    facts = scratch.write(rows.mapInArrow(_describe, _FACTS), "facts").dropDuplicates(["doc_id"])
-
-    family = _clusters(scratch, facts, "family", "alike", "shingles", "bands")
-    copies = _clusters(scratch, facts, "copies", "same", "words", "word_bands")
-    told = facts.withColumn("wordless", F.size("words") == 0).drop("shingles", "words", "bands", "word_bands")
-    told = told.join(family.withColumnRenamed("cluster", "family"), "alike").join(copies.withColumnRenamed("cluster", "copy"), "same").drop("alike", "same")
-    told = scratch.write(told, "told")
-    per_project = told.groupBy("family", "project_id").agg(F.count("*").alias("family_files"))
-    spans = per_project.groupBy("family").agg(F.count("*").alias("family_projects"))
-    held = told.groupBy("copy", "project_id").agg(F.first("wordless").alias("wordless")).groupBy("copy").agg(F.when(F.first("wordless"), 1).otherwise(F.count("*")).alias("copy_projects"))
-    told = told.join(per_project, ["family", "project_id"]).join(spans, "family").join(held, "copy")
-
-    minified = (F.col("short") >= SHORT) & (F.col("width") >= LONG)
-    data = F.col("literal") >= LITERAL
+    facts = scratch.write(rows.dropDuplicates(["doc_id"]).mapInArrow(_describe, _FACTS), "facts")  # one row a doc_id before the wide columns are made
+
+    family = _clusters(scratch, facts.filter(F.size("shingles") > 0), "family", "alike", "shingles", "bands")
+    copies = _clusters(scratch, facts.filter(F.size("words") > 0), "copies", "same", "words", "word_bands")
+    told = facts.drop("shingles", "words", "bands", "word_bands").join(family.withColumnRenamed("cluster", "family"), "alike", "left").join(copies.withColumnRenamed("cluster", "copy"), "same", "left").drop("alike", "same")
+    told = scratch.write(told.withColumn("family", F.coalesce("family", "doc_id")).withColumn("copy", F.coalesce("copy", "doc_id")), "told")
+    held = [(F.count("*"), "family_files"), *((F.sum(c), f"sum_{c}") for c in ("literal", "short", "width", "fresh"))]
+    per_project = told.groupBy("family", "project_id").agg(*(value.alias(c) for value, c in held))
+    spans = per_project.groupBy("family").agg(F.sum("family_files").alias("family_size"), F.count("*").alias("family_projects"), *((F.sum(f"sum_{c}") / F.sum("family_files")).alias(f"all_{c}") for c in ("literal", "short", "width", "fresh")))
+    spread = told.groupBy("copy", "project_id").count().groupBy("copy").agg(F.count("*").alias("copy_projects"))
+    told = told.join(per_project.select("family", "project_id", "family_files"), ["family", "project_id"]).join(spans, "family").join(spread, "copy")
+
+    def kind(prefix: str):
+        """minified or data by averages of a family, or a file's own."""
+        literal, short, width = (F.col(f"{prefix}{c}") for c in ("literal", "short", "width"))
+        return F.when((short >= SHORT) & (width >= LONG), "minified").when(literal >= LITERAL, "data")
+
+    in_family = F.when(F.col("family_size") > 1, F.coalesce(kind("all_"), F.when(F.col("all_fresh") < FRESH_FAMILY, "generated")))
+    copied = F.when(F.col("copy_projects") > 1, "vendored")
     templated = (F.col("fresh") < FRESH) | (F.col("numbered") >= 0.1)
-    aided = (F.col("fresh") < FRESH_AIDED) & ((F.col("family_files") >= 3) | F.col("generated_path"))
-    generated = F.col("says_generated") | templated | aided | F.col("generated_path")
-    vendored = F.col("says_vendored") | F.col("vendor_path") | (F.col("copy_projects") > 1)
-    verdict = F.when(minified, "minified").when(data, "data").when(generated, "generated").when(vendored, "vendored")
-    return told.withColumn("verdict", verdict).drop("copy", "wordless")
+    by_text = F.coalesce(kind(""), F.when(templated, "generated"))
+    by_statement = F.when(F.col("says_generated"), "generated").when(F.col("says_vendored"), "vendored")
+    by_path = F.when(F.col("generated_path"), "generated").when(F.col("vendor_path"), "vendored")
+    ways = [(in_family, "family"), (copied, "copies"), (by_text, "text"), (by_statement, "statement"), (by_path, "path")]
+    verdict = F.coalesce(*(way for way, _ in ways))
+    evidence = F.coalesce(*(F.when(way.isNotNull(), said) for way, said in ways))
+    return told.withColumn("verdict", verdict).withColumn("evidence", evidence).drop("copy", "all_literal", "all_short", "all_width", "all_fresh")

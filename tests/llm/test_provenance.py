@@ -73,6 +73,24 @@ def test_hot_family_and_empty_table(spark):
     assert provenance(df.filter("false")).count() == 0
 
 
+def test_family_decides(spark):
+    # three files of one generator, without a statement, a folder or a counter, among longer stretches written by hand
+    piece = "".join(f"def get_{name()}(self, key): return self.store[key].value(self.kind).strip()\n" for _ in range(40))
+    files = [hand(2) + "".join(line.replace("value", name()) + "\n" for line in piece.splitlines()) for _ in range(3)]
+    rows = [(f"g{i}", "p", f"src/m{i}.py", text) for i, text in enumerate(files)] + [(f"h{i}", "p", f"src/h{i}.py", hand()) for i in range(5)]
+    got = {r.doc_id: (r.verdict, r.evidence, r.family_size) for r in provenance(spark.createDataFrame(rows, "doc_id string, project_id string, file_path string, text string")).collect()}
+    assert got == {f"g{i}": ("generated", "family", 3) for i in range(3)} | {f"h{i}": (None, None, 1) for i in range(5)}
+
+
+def test_pairs_of_a_bucket_beyond_its_first_files(spark):
+    # 40 sets of one bucket, unlike each other but for the last two: no leader before them finds that link
+    sets = [list(range(1_000 * i, 1_000 * i + 50)) for i in range(39)] + [list(range(38_001, 38_051))]
+    rows = [(f"{i:02}", f"{i:02}".encode(), s, [1]) for i, s in enumerate(sets)]
+    facts = spark.createDataFrame(rows, "doc_id string, alike binary, shingles array<long>, bands array<long>")
+    got = {bytes(r.alike).decode(): r.cluster for r in _clusters(Scratch(spark), facts, "family", "alike", "shingles", "bands").collect()}
+    assert got == {f"{i:02}": f"{min(i, 38):02}" for i in range(40)}
+
+
 def test_every_pair_of_a_bucket_counts(spark):
     own = lambda a, b: list(range(a, b))
     sets = {"a": own(0, 100), "b": own(40, 140), "c": own(41, 141), "d": own(200, 300), "e": own(210, 310), "f": own(220, 320), "g": own(500, 600)}
