@@ -1,10 +1,12 @@
 """Functions paired with their documentation.
 
-Each function's source is parsed to a syntax tree: Python by its own grammar, languages with braces by a
-tokenizer that knows strings, comments and nesting, so that a function node has exact source and documentation
-ranges. Documentation is cleaned of comment signs, markup, tags, parameter lists and tool directives; a
-sentence counts only by words that are neither the function's own name nor filler, and a function none of whose
-sentences counts is dropped.
+Each source is parsed to a syntax tree: Python by its own grammar, languages with braces by a tokenizer that knows
+strings, comments and nesting, so that a function node has its name, exact source range and attached documentation.
+Nodes meet the entities of their file by name and line. A function counts by the comment attached to its node, provided its
+docstring, which its parser took from the source, says so too; where there is no node or the comment is torn, by the
+docstring alone. Documentation is cleaned of
+comment signs, markup, tags, parameter lists and tool directives; a sentence counts only by words that are neither the
+function's own name nor filler, and a function none of whose sentences counts is dropped.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 import textwrap
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,7 +160,13 @@ def _python_functions(source: str) -> list[dict]:
 
 
 def _braced_functions(source: str) -> list[dict]:
-    """Function nodes of a language with braces: a name, a bracketed list, then a block that isn't a control statement's."""
+    """Function nodes of a language with braces: a name, a bracketed list, then a block that isn't a control statement's.
+
+    A source that begins inside a comment (a piece of a file may) has it as a comment. Documentation is the last block
+    comment before the node, or else the comment lines before it.
+    """
+    if (sign := re.search(r"/\*|\*/", source)) and sign.group() == "*/":
+        source = "/*" + source
     tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(source)]
     line_of = lambda at: source.count("\n", 0, at) + 1
     control = {"if", "for", "while", "switch", "catch", "match", "return", "else", "do", "try", "with", "synchronized", "new", "function", "func", "fn"}
@@ -192,8 +201,9 @@ def _braced_functions(source: str) -> list[dict]:
             j = closing.get(j, j) + 1 if tokens[j][0] == "open" else j + 1
         if j < len(tokens) and tokens[j][1] == "{":
             stop = tokens[closing[j]][3] if j in closing else len(source)
-            own = [tokens[d] for d in docs]
-            out.append({"name": before[-1][1], "from": line_of(before[0][2]), "to": line_of(stop - 1), "doc": "\n".join(t[1] for t in own) or None})
+            own = [tokens[d][1] for d in docs]
+            blocks = [d for d in own if d.startswith("/*")]
+            out.append({"name": before[-1][1], "from": line_of(before[0][2]), "to": line_of(stop - 1), "doc": blocks[-1] if blocks else "\n".join(own) or None})
     return out
 
 
@@ -212,48 +222,73 @@ def functions_of(source: str | None, language: str | None) -> list[dict]:
 
 # ------------------------------------------------------------------- operator
 
-_PAIR = "id string, name string, language string, code string, documentation string, line_start int, line_end int"
+_NODE = "doc_id string, name string, place int, chunk_id string, at int, whole boolean, language string, code string, attached string, line_start int, line_end int"
+_TOLD = "id string, name string, doc_id string, documentation string, stands int"
+
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in _PAIR.split(", ")]
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Function nodes of every chunk; where a chunk's own function isn't among them, the whole chunk under its name."""
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            cleaned = clean_documentation(row["docstring"])
-            if not telling_sentences(cleaned, row["name"]):
-                continue
-            code, first, last = row["content"], row["line_start"], row["line_end"]
-            node = next((f for f in functions_of(code, row["language"]) if f["name"] == row["name"]), None)
-            if node:
-                lines = code.split("\n")
+            source, first = row["content"] or "", row["line_start"] if (row["line_start"] or 0) > 0 else None
+            lines = source.split("\n")
+            key = row["doc_id"], row["place"], row["chunk_id"], row["language"]
+            found = functions_of(source, row["language"])
+            for node in found:
+                span = (first + node["from"] - 1, first + node["to"] - 1) if first else (None, None)
                 code = "\n".join(lines[node["from"] - 1 : node["to"]])
-                if first is not None and first > 0:
-                    first, last = first + node["from"] - 1, first + node["to"] - 1
-            out.append((row["id"], row["name"], row["language"], code, cleaned, first, last))
-        columns = list(zip(*out)) if out else [[] for _ in names]
-        kinds = [pa.string()] * 5 + [pa.int32()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                out.append((key[0], node["name"], key[1], key[2], node["from"], False, key[3], code, clean_documentation(node["doc"]), *span))
+            if row["name"] and all(node["name"] != row["name"] for node in found):
+                out.append((key[0], row["name"], key[1], key[2], 0, True, key[3], source, None, first, row["line_end"]))
+        yield _batch(out, _NODE)
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _batch([(row["id"], row["name"], row["doc_id"], clean_documentation(row["docstring"]), row["stands"]) for row in batch.to_pylist()], _TOLD)
+
+
+def _basis(name: pd.Series, attached: pd.Series, documentation: pd.Series) -> pd.Series:
+    """attached where the comment at the node and the docstring both tell something, docstring where only that one does
+    (the node is missing, or its comment torn by an edit), null where the docstring doesn't: it has the last word."""
+    return pd.Series([("attached" if a and telling_sentences(a, n) else "docstring") if telling_sentences(d, n) else None for n, a, d in zip(name, attached, documentation)], dtype=object)
 
 
 def documented_functions(entities: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Functions and methods among entities (id, type, name, doc_id, docstring) with code and cleaned documentation.
-
-    type counts lower-cased, without outer blanks and a leading `code_`. Rows of one id agree but for ranking
-    columns, so any serves. Code comes from the current row of chunks (id, doc_id, indexed_at, element_type,
-    element_name, content, language, chunk_index, line_start, line_end) of the same doc_id whose element_name is
-    the entity's name, the first by chunk_index; it is cut to the function's node with its line numbers, or is
-    the whole chunk where the node can't be found, or null where there is no chunk. Functions whose docstring is
-    null, empty or says nothing are dropped; null ids and names drop out too. One row per id.
+    """Functions and methods among entities (id, type, name, doc_id, docstring, line_start) with code and documentation.
+
+    One row per id: id, name, language, code, documentation, attached, basis, line_start, line_end. type counts lower-cased, without outer
+    blanks and a leading `code_`. Rows of one id agree but for ranking columns, so any serves. Code comes from the current
+    rows of chunks (id, doc_id, indexed_at, element_type, element_name, content, language, chunk_index, line_start,
+    line_end) that hold functions: the node of the entity's name in its doc_id, of several the one nearest to the entity's line
+    (then the first), with its own lines and the documentation attached to it, cleaned. Where a chunk
+    of that element_name doesn't parse, the whole chunk is the code and attached is null; where the file has neither, code is null.
+    Functions whose docstring is null, empty or says nothing are dropped; null ids and names drop out too.
     """
     kind = F.regexp_replace(F.lower(F.trim("type")), "^code_", "")
     chosen = entities.filter(kind.isin("function", "method") & F.col("id").isNotNull() & F.col("name").isNotNull() & (F.trim("docstring") != ""))
-    chosen = chosen.groupBy("id").agg(F.min(F.struct("name", "doc_id", "docstring")).alias("e")).select("id", "e.*")
-    code = chunks.filter(F.col("element_type") == "function").select(
-        F.col("id").alias("chunk_id"), "doc_id", "indexed_at", F.col("element_name").alias("name"), "content", "language", "chunk_index", "line_start", "line_end"
-    )
-    code = current_rows(code, "chunk_id").drop("indexed_at")
-    first = F.struct(F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), "chunk_id", "content", "language", "line_start", "line_end")
-    code = code.filter("name <> '' and doc_id <> ''").groupBy("doc_id", "name").agg(F.min(first).alias("c")).select("doc_id", "name", "c.*")
-    joined = chosen.join(code, ["doc_id", "name"], "left").select("id", "name", "language", "content", "docstring", "line_start", "line_end")
-    return joined.mapInArrow(_pairs, _PAIR)
+    chosen = chosen.groupBy("id").agg(F.min(F.struct("name", "doc_id", "docstring", F.col("line_start").alias("stands"))).alias("e")).select("id", "e.*")
+    told = chosen.mapInArrow(_cleaned, _TOLD)
+
+    # a row of another kind may be the current one of its id, but its content needn't travel
+    holds = F.coalesce(F.col("element_type") == "function", F.lit(False))
+    code = chunks.select(
+        F.col("id").alias("chunk_id"), "doc_id", "indexed_at", holds.alias("holds"), F.col("element_name").alias("name"), F.when(holds, F.col("content")).alias("content"), "language",
+        F.coalesce("chunk_index", F.lit(0)).cast("int").alias("place"), F.col("line_start").cast("int").alias("line_start"), F.col("line_end").cast("int").alias("line_end"),
+    )
+    code = current_rows(code, "chunk_id").filter("holds and doc_id <> ''").drop("indexed_at", "holds")
+    nodes = code.mapInArrow(_nodes, _NODE)
+    away = F.coalesce(F.abs(F.col("line_start") - F.when(F.col("stands") > 0, F.col("stands"))), F.lit(1 << 30))
+    nearest = F.min(F.struct(F.col("at").isNull().alias("none"), "whole", away.alias("away"), "place", "chunk_id", "at", "language", "code", "attached", "line_start", "line_end")).alias("n")
+    # grouped as joined: no further shuffle
+    best = told.join(nodes, ["doc_id", "name"], "left").groupBy("doc_id", "name", "id").agg(F.first("documentation").alias("documentation"), nearest)
+    best = best.withColumn("basis", F.pandas_udf(_basis, "string")("name", "n.attached", "documentation")).filter("basis is not null")
+    return best.select("id", "name", "n.language", "n.code", "documentation", "n.attached", "basis", "n.line_start", "n.line_end")

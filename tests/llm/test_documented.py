@@ -60,3 +60,26 @@ def test_operator(spark):
     assert (got["1"].code, got["1"].line_start, got["1"].line_end) == ("def f():\n    pass", 6, 7)
     assert got["4"].code is None and got["4"].documentation == "Reads entries from disk."
     assert documented_functions(entities.filter("false"), chunks.filter("false")).count() == 0
+
+
+def test_nodes_meet_entities_by_name_and_line(spark):
+    told = "Waits until a lock is free."
+    e = [("a", "method", "run", "d", told, 40), ("b", "method", "run", "d", told, 11), ("c", "function", "lost", "d", told, 70), ("d", "function", "torn", "d", told, -1), ("e", "function", "gone", "d", told, 1), ("f", "function", "lost", "d", "Lost.", 70)]
+    entities = spark.createDataFrame(e, "id string, type string, name string, doc_id string, docstring string, line_start int")
+    day, later = "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z"
+    lost = '# note\ndef lost():\n    """Frees the oldest lock."""'
+    c = [
+        ("c1", "d", day, "function", "run", "def run(a):\n    one", "python", 1, 10, 12), ("c2", "d", day, "function", "run", "def run(b):\n    two", "python", 2, 41, 42),
+        ("c3", "d", day, "function", "", lost, "python", 3, 70, 72), ("c4", "d", day, "function", "torn", "def torn(:\n", "python", 4, 80, 81),
+        ("c5", "d", day, "function", "gone", "def gone(): pass", "python", 5, 90, 90), ("c5", "d", later, "block", "gone", "gone = 1", "python", 5, 90, 90),
+    ]
+    chunks = spark.createDataFrame(c, "id string, doc_id string, indexed_at string, element_type string, element_name string, content string, language string, chunk_index int, line_start int, line_end int")
+    got = {r.id: (r.code, r.attached, r.basis, r.line_start) for r in documented_functions(entities, chunks).collect()}
+    assert got == {
+        "a": ("def run(b):\n    two", "", "docstring", 41), "b": ("def run(a):\n    one", "", "docstring", 10), "c": (lost[7:], "Frees the oldest lock.", "attached", 71),
+        "d": ("def torn(:\n", None, "docstring", 80), "e": (None, None, "docstring", None),
+    }
+
+
+def test_source_that_begins_in_a_comment():
+    assert functions_of("memo\n * Waits.\n */\nfunction f(a) {\n}\n", "javascript") == [{"name": "f", "from": 4, "to": 5, "doc": "/*memo\n * Waits.\n */"}]
