@@ -5,7 +5,8 @@ distance of two fingerprints is the size of their symmetric difference. Referenc
 slices of that space: of REFERENCES equal slices and every signed union of them the distances are kept as one
 count per slice, and the largest difference of two texts' distances over all those references is the sum of
 the differences of their counts. It never exceeds the texts' own distance, so pairs above the distance that the
-threshold allows are discarded without reading their shingles; survivors are verified exactly.
+threshold allows are discarded without reading their shingles; survivors are verified exactly. COARSE sums of these counts
+travel with every posting, so that most pairs are discarded before they are made, the rest by all counts.
 
 The pairs put to that test share a shingle among their rarest ones (prefix filter: with similarity t, two texts
 share one of the first n - ceil(t n) + 1 shingles in any common order). The order is by document frequency, so
@@ -15,6 +16,7 @@ large share of the texts come last in the order and are kept out of the grouping
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -28,6 +30,8 @@ from lodestrand.operators.components import components
 from lodestrand.plans.scratch import Scratch
 
 REFERENCES = 128
+#: Sums of neighbouring counts that travel with postings, 16 bits each, four to a long.
+COARSE = 8
 #: Shingles in at least this share of the texts count as frequent; there are at most (mean shingles per text) / share.
 FREQUENT = 0.005
 SUMMARY = 1 << 16
@@ -35,7 +39,7 @@ SUMMARY = 1 << 16
 #: joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
-_SKETCH = "id string, k long, n int, class binary, shingles array<long>, slices array<short>, counts array<long>"
+_SKETCH = "id string, k long, n int, class binary, text binary, shingles array<long>, slices array<short>, counts array<long>"
 
 
 class _Frequent:
@@ -63,7 +67,7 @@ class _Frequent:
 def _sketches(width: int, share: float):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = _Frequent()
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int64())]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int64())]
         names = [c.split()[0] for c in _SKETCH.split(", ")]
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -89,6 +93,7 @@ def _sketches(width: int, share: float):
                         pa.array(sums[0][keep].view(np.int64)),
                         pa.array(counts[keep].astype(np.int32)),
                         pa.array([r.tobytes() for r in key[keep]], pa.binary()),
+                        pa.array([hashlib.blake2b((texts[start + i] or "").encode("utf-8", "replace"), digest_size=16).digest() for i in keep], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(to), pa.array(hashes.view(np.int64))),
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(len(keep) + 1, dtype=np.int32) * REFERENCES),
@@ -100,7 +105,7 @@ def _sketches(width: int, share: float):
                 )
         keys, counts = frequent.found(share)
         if len(keys):
-            row = [None, None, None, None, keys.view(np.int64).tolist(), None, counts.tolist()]
+            row = [None, None, None, None, None, keys.view(np.int64).tolist(), None, counts.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names=names)
 
     return sketch
@@ -111,23 +116,26 @@ class NearCopies:
 
     df: any frame; id and text name its columns, ids are unique (of rows with one id any counts) and compared as
     strings. Rows with a null id, and texts (null and empty ones too) of fewer than `width` words, have no near
-    copies. Texts with the same set of shingles form a class, led by its smallest id.
+    copies. Texts with the same set of shingles form a class, led by its smallest id. measure: count what the distances to
+    references discard (`counts`), which takes further jobs.
     """
 
-    def __init__(self, df: DataFrame, id: str = "id", text: str = "content", width: int = 5, threshold: float = 0.8, share: float = FREQUENT):
+    def __init__(self, df: DataFrame, id: str = "id", text: str = "content", width: int = 5, threshold: float = 0.8, share: float = FREQUENT, measure: bool = False):
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be above 0 and at most 1")
         self.threshold, self.spark, self.scratch = threshold, df.sparkSession, Scratch(df.sparkSession)
         rows = df.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
         self.sketches = self.scratch.write(rows.mapInArrow(_sketches(width, share), _SKETCH), "sketches")
         self._share, self._links, self._members = share, None, None
+        self.counts: dict[str, int] | None = {} if measure else None
 
     def members(self) -> DataFrame:
-        """id, leader, size: the class of every text, named by its smallest id, and how many texts it has."""
+        """id, leader, size, text: the class of every text, named by its smallest id, how many ids it has, and a 128-bit hash
+        of the text itself, which a class may have several of."""
         if self._members is None:
-            texts = self.sketches.filter("counts is null").select("id", "class")
+            texts = self.sketches.filter("counts is null").select("id", "class", "text")
             leaders = texts.groupBy("class").agg(F.min("id").alias("leader"), F.countDistinct("id").alias("size"))
-            self._members = self.scratch.write(texts.join(leaders, "class").select("id", "leader", "size").distinct(), "members")
+            self._members = self.scratch.write(texts.join(leaders, "class").select("id", "leader", "size", "text").distinct(), "members")
         return self._members
 
     def links(self) -> DataFrame:
@@ -142,7 +150,7 @@ class NearCopies:
         total = leaders.count()
         frequent = self.sketches.filter("counts is not null").select(F.explode(F.arrays_zip("shingles", "counts")).alias("x"))
         frequent = frequent.groupBy(F.col("x.shingles").alias("h")).agg(F.sum("x.counts").alias("df")).filter(F.col("df") >= max(2, self._share * total))
-        frequent = self.scratch.write(frequent.coalesce(1), "frequent")
+        frequent = self.scratch.write(frequent, "frequent")
         self.scratch.drop("sketches")
 
         posts = leaders.select("k", F.explode("shingles").alias("h"))
@@ -155,11 +163,19 @@ class NearCopies:
 
         by_text = Window.partitionBy("k")
         ranked = shared.withColumn("place", F.row_number().over(by_text.orderBy("df", "h"))).withColumn("kept", F.count("*").over(by_text))
-        ranked = ranked.join(leaders.select("k", "n"), "k")
+        step = REFERENCES // COARSE
+        coarse = [sum((F.col("slices")[i].cast("long") for i in range(c * step + 1, (c + 1) * step)), F.col("slices")[c * step].cast("long")) for c in range(COARSE)]
+        coarse = [F.least(c, F.lit(0xFFFF)) for c in coarse]
+        packed = [sum((F.shiftleft(coarse[4 * w + i], 16 * i) for i in range(1, 4)), coarse[4 * w]).alias(f"c{w}") for w in range(COARSE // 4)]
+        ranked = ranked.join(leaders.select("k", "n", *packed), "k")
         ranked = ranked.withColumn("place", (F.col("place") + F.col("n") - F.col("kept")).cast("int"))
-        first = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).select("h", "k", "n", "place")
+        first = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).select("h", "k", "n", "place", *(f"c{w}" for w in range(COARSE // 4)))
 
-        a, b = (first.select("h", *(F.col(c).alias(f"{c}_{i}") for c in ("k", "n", "place"))) for i in (1, 2))
+        part = lambda c, i: F.shiftright(c, 16 * i).bitwiseAND(0xFFFF)
+        roughly = sum(F.abs(part(f"c{w}_1", i) - part(f"c{w}_2", i)) for w in range(COARSE // 4) for i in range(4))
+        total = F.col("n_1") + F.col("n_2")
+        most = total - 2 * F.ceil(total * (t / (1 + t)) - 1e-9)  # the distance that the threshold allows
+        a, b = (first.select("h", *(F.col(c).alias(f"{c}_{i}") for c in first.columns[1:])) for i in (1, 2))
         pairs = a.join(
             b,
             (a["h"] == b["h"])
@@ -167,6 +183,9 @@ class NearCopies:
             & (F.least("n_1", "n_2") >= t * F.greatest("n_1", "n_2") - 1e-9)
             & (F.least(F.col("n_1") - F.col("place_1"), F.col("n_2") - F.col("place_2")) + 1 >= F.ceil((F.col("n_1") + F.col("n_2")) * (t / (1 + t)) - 1e-9)),
         )
+        if self.counts is not None:
+            self.counts["made"] = pairs.select("k_1", "k_2").distinct().count()
+        pairs = pairs.filter(roughly <= most)
         pairs = self.scratch.write(pairs.select("k_1", "k_2").distinct(), "pairs")
 
         keys = pairs.select(F.explode(F.array("k_1", "k_2")).alias("k")).distinct()
@@ -175,8 +194,9 @@ class NearCopies:
         near = leaders.join(F.broadcast(keys) if some else keys, "k", "left_semi")
         tables = [near.select(*(F.col(c).alias(f"{c}_{i}") for c in ("k", "n", "slices"))) for i in (1, 2)]
         apart = F.aggregate(F.zip_with("slices_1", "slices_2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-        total = F.col("n_1") + F.col("n_2")
-        kept = pairs.join(tables[0], "k_1").join(tables[1], "k_2").filter(apart <= total - 2 * F.ceil(total * (t / (1 + t)) - 1e-9)).select("k_1", "k_2")
+        kept = pairs.join(tables[0], "k_1").join(tables[1], "k_2").filter(apart <= most).select("k_1", "k_2")
+        if self.counts is not None:
+            self.counts |= {"after coarse sums": pairs.count(), "after all counts": kept.count()}
 
         full = [near.select(*(F.col(c).alias(f"{c}_{i}") for c in ("k", "id", "n", "shingles"))) for i in (1, 2)]
         checked = kept.join(full[0], "k_1").join(full[1], "k_2").withColumn("both", F.size(F.array_intersect("shingles_1", "shingles_2")))
@@ -200,15 +220,16 @@ class NearCopies:
         )
 
     def pairs(self, copies: int = 64) -> DataFrame:
-        """id_1 < id_2: linked ids. Classes of up to `copies` texts are written out, among themselves and towards
-        others; a larger class is present by its leader, to which each of its other texts has one pair."""
+        """id_1 < id_2: linked ids. Different texts are always written out with one another. Of more than `copies` exact
+        copies of one text, the smallest id stands for all: the others have a pair with it only."""
         members = self.members()
-        shown = members.filter((F.col("size") <= copies) | (F.col("id") == F.col("leader")))
-        left = shown.select(F.col("leader").alias("leader_1"), F.col("id").alias("a"))
-        right = shown.select(F.col("leader").alias("leader_2"), F.col("id").alias("b"))
+        alike = members.groupBy("leader", "text").agg(F.min("id").alias("first"), F.count("*").alias("same"))
+        several = members.filter("size > 1").join(alike, ["leader", "text"])  # a class of one needs no look
+        shown = several.filter((F.col("same") <= copies) | (F.col("id") == F.col("first"))).select("leader", "id")
+        every = members.filter("size = 1").select("leader", "id").unionByName(shown)
+        left = every.select(F.col("leader").alias("leader_1"), F.col("id").alias("a"))
+        right = every.select(F.col("leader").alias("leader_2"), F.col("id").alias("b"))
         across = self.links().select("leader_1", "leader_2").join(left, "leader_1").join(right, "leader_2").select("a", "b")
-        several = members.filter("size > 1")
-        small = several.filter(F.col("size") <= copies)
-        within = small.select("leader", F.col("id").alias("a")).join(small.select("leader", F.col("id").alias("b")), "leader").filter("a < b").select("a", "b")
-        star = several.filter((F.col("size") > copies) & (F.col("id") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        within = shown.select("leader", F.col("id").alias("a")).join(shown.select("leader", F.col("id").alias("b")), "leader").filter("a < b").select("a", "b")
+        star = several.filter((F.col("same") > copies) & (F.col("id") != F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
         return across.union(within).union(star).select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2"))

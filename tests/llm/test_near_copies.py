@@ -50,6 +50,22 @@ def test_hot_group_of_copies_is_one_class(spark):
     assert groups["copy"].group_id == groups["d000"].group_id == groups["copy2"].group_id
 
 
+def test_different_texts_of_a_hot_class_keep_their_links(spark):
+    words = "one same set of runs for very many texts that differ in signs only".split()
+    sign = lambda i: "".join(w + (", " if i >> k & 1 else " ") for k, w in enumerate(words))
+    rows = [(f"s{i:03}", sign(i)) for i in range(90)] + [(f"t{i:03}", sign(5)) for i in range(90)] + [("near", sign(0) + "of all")]
+    found = NearCopies(spark.createDataFrame(rows, "id string, content string"), width=3, threshold=0.5)
+    got = {tuple(r) for r in found.pairs(copies=64).collect()}
+    stand = [i for i, _ in rows if i[0] != "t"]  # s005 stands for its 90 copies
+    assert got == {(min(a, b), max(a, b)) for a, b in combinations(stand, 2)} | {("s005", f"t{i:03}") for i in range(90)}
+
+
+def test_counts_of_discards(spark):
+    found = NearCopies(spark.createDataFrame(corpus(), "id string, content string"), width=3, threshold=0.5, measure=True)
+    links = found.links().count()
+    assert found.counts["made"] >= found.counts["after coarse sums"] >= found.counts["after all counts"] >= links > 0
+
+
 def test_very_long_text_and_empty_table(spark):
     long = " ".join(f"t{i}" for i in range(200_000))
     df = spark.createDataFrame([("a", long), ("b", long + " more"), ("c", "x")], "id string, content string")
