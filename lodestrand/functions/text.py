@@ -8,9 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- fixed values: word lists and patterns
-STOP_WORDS = """a all an and are as at be been being both but by can could did do does each every few for from had has have he how i in
-is it may might more most must no nor not of on only or other own same she should so some such than that the these they this those to
-too very was we were what when where which who why will with would you""".split()
+# stop words of keywords (memory), of the terms that raise scores (search) and of the tokens of a question (recall)
+STOP_WORDS = """the a an and or but in on at to for of with by from as is was are were be been being have has had do does did will would
+should could may might must can this that these those i you he she it we they what which who when where why how all each every both few
+more most other some such no nor not only own same so than too very""".split()
+BOOST_STOP_WORDS = """a an the is are was were be been do does did have has had how what when where which who this that and or but if for of
+to in on at by with from it its can will not no""".split()
+RECALL_STOP_WORDS = """the and for with that this from are was were has have not but you your how what which does did can its into over than then
+them they who why when where will just also about after before""".split()
 CODE_WORDS = """abstract async await break case catch class const continue def default delete do elif else enum except export extends
 false final finally for from function if implements import in instanceof interface is lambda let new none not null or package pass
 private protected public raise return self static super switch this throw true try typeof var void while with yield""".split()
@@ -33,6 +38,12 @@ OVERVIEW_QUERIES = [
     r"\b(readme|overview|architecture|getting[.\-_\s]?started)\b",
     r"\b(what\s+(does|is)|how\s+(does|to|do)|purpose|intro(duction)?)\b",
     r"\b(documentation|docs|guide|tutorial|manual)\b",
+    r"\b(project\s+structure|codebase|explain|describe)\b",
+]
+IMPORTANT_FILES = [
+    ("config", r"(?i)(config|settings|\.env|\.yaml|\.yml|\.toml|\.json|Makefile|Dockerfile|docker-compose)"),
+    ("entry_point", r"(?i)(main\.|index\.|app\.|server\.|__main__|manage\.py|wsgi|asgi)"),
+    ("test", r"(?i)(test_|_test\.|\.test\.|spec\.|\.spec\.)"),
 ]
 OVERVIEW_FILES = ["readme", "index", "main", "overview", "introduction"]
 INVERSE_TYPES = {
@@ -46,14 +57,19 @@ def contains_any(text: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(p) for p in parts))
 
 
-def first_case(cases: list[tuple[Column, str]], otherwise: str | None) -> Column:
+def first_case(cases: list[tuple[Column, str | Column]], otherwise: str | None) -> Column:
     """The value of the first true condition."""
     column = None
     for condition, value in cases:
-        column = F.when(condition, F.lit(value)) if column is None else column.when(condition, F.lit(value))
+        column = F.when(condition, F.lit(value)) if column is None else column.when(condition, F.lit(value))  # lit leaves columns as they are
     return column.otherwise(F.lit(otherwise))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value worked out once, however often it is used inside functions on arrays."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def keywords(text: Column, shortest: int = 3) -> Column:
     """Runs of a-z in the lower-cased text that aren't joined to other word signs, at least `shortest` long, no stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"))
@@ -61,9 +77,15 @@ def keywords(text: Column, shortest: int = 3) -> Column:
 
 
 def top_keywords(text: Column, most: int = 10, shortest: int = 3) -> Column:
-    """The most frequent keywords, ties in alphabetical order."""
-    words = keywords(text, shortest)
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda v: v == w))).alias("n"), w.alias("w")))
+    """The most frequent keywords, ties in alphabetical order: runs of equal words in the sorted list are counted."""
+    begin = F.array().cast("array<struct<n:int,w:string>>")
+
+    def count(done: Column, word: Column) -> Column:
+        last = F.element_at(done, -1)
+        again = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct((last["n"] - 1).alias("n"), word.alias("w"))))
+        return F.when((F.size(done) > 0) & (last["w"] == word), again).otherwise(F.concat(done, F.array(F.struct(F.lit(-1).alias("n"), word.alias("w")))))
+
+    counted = F.aggregate(F.sort_array(keywords(text, shortest)), begin, count)
     return F.transform(F.slice(F.array_sort(counted), 1, most), lambda x: x["w"])
 
 
@@ -152,18 +174,8 @@ def file_priority(path: Column) -> Column:
 
 
 def importance(path: Column) -> Column:
-    """Class of a changed file: test, config, documentation, entry point, source or other."""
-    low = F.lower(path)
-    return first_case(
-        [
-            (low.rlike(r"(^|/)(tests?|spec)/|(^|/)test_|_test\.|\.spec\."), "test"),
-            (low.rlike(r"\.(ya?ml|json|toml|ini|cfg|conf)$|(^|/)dockerfile$"), "config"),
-            (low.rlike(r"\.(md|rst|txt)$|(^|/)docs?/"), "documentation"),
-            (low.rlike(r"(^|/)(main|index|app|server|__init__)\.[a-z]+$"), "entry"),
-            (low.rlike(r"\.[a-z]{1,4}$"), "source"),
-        ],
-        "other",
-    )
+    """Class of a changed file: config, entry_point or test, the first that fits, else null."""
+    return first_case([(path.rlike(pattern), kind) for kind, pattern in IMPORTANT_FILES], None)
 
 
 def layer(name: Column, kind: Column, path: Column) -> Column:
@@ -197,8 +209,9 @@ def token_estimate(text: Column) -> Column:
 
 
 def query_tokens(text: Column) -> Column:
-    """Distinct words of at least three signs, lower-cased, without stop words, in order."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]{3,})")), lambda w: ~w.isin(STOP_WORDS)))
+    """Distinct words of at least three letters, digits and underscores, lower-cased, without stop words, in order."""
+    words = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]{3,})")), lambda w: F.lower(w))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(RECALL_STOP_WORDS)))
 
 
 def token_overlap(text: Column, needles: Column) -> Column:

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import contains_any, entity_type, file_name, folder, layer, personal, words_of_name
+from lodestrand.functions.text import contains_any, entity_type, file_name, folder, layer, module_path, personal, snake, words_of_name
 from lodestrand.plans.scratch import Scratch
 
 
@@ -178,56 +179,120 @@ def relationship_id(*columns: str) -> Column:
 # --------------------------------------------------------------------- resolution
 
 
-def path_closeness(a: Column, b: Column) -> Column:
-    """Share of leading folders that two paths have in common; 1 in one folder."""
-    x, y = F.split(folder(a), "/"), F.split(folder(b), "/")
-    length = F.least(F.size(x), F.size(y))
-    same = F.aggregate(
-        F.sequence(F.lit(1), length),
-        F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
-        lambda s, i: F.struct((s["n"] + F.when(s["on"] & (F.element_at(x, i) == F.element_at(y, i)), 1).otherwise(0)).alias("n"), (s["on"] & (F.element_at(x, i) == F.element_at(y, i))).alias("on")),
-    )
-    return same["n"] / F.greatest(F.size(x), F.size(y))
+def path_proximity(source: Column, target: Column) -> Column:
+    """Nearness of two files: 1 for one file, 0.8 in one folder, else a tenth less for each step up and down between them, 0.3 at least."""
+    x, y = F.split(source, "/"), F.split(target, "/")
+    common = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(x), F.size(y))), lambda i: F.slice(x, F.lit(1), i) == F.slice(y, F.lit(1), i)))
+    steps = F.size(x) + F.size(y) - 2 * common
+    return F.when(source == target, 1.0).when(folder(source) == folder(target), 0.8).otherwise(F.greatest(F.lit(0.3), F.round(1.0 - steps * 0.1, 9)))
+
+
+def _shared_words(a: Column, b: Column) -> Column:
+    """How many words of two snake-case names agree."""
+    return F.size(F.array_intersect(F.split(a, "_"), F.split(b, "_")))
 
 
 def naming_score(symbol: Column, path: Column) -> Column:
-    """Likeness of a symbol to the name of a file: 1 equal words, else the share of common words."""
-    a, b = F.array_distinct(words_of_name(symbol)), F.array_distinct(words_of_name(F.regexp_replace(file_name(path), r"\.[A-Za-z0-9]+$", "")))
-    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
-
-
-def resolve_references(references: DataFrame, entities: DataFrame) -> DataFrame:
-    """The best entity for each reference (ref_id, name, file_path): by exact name in the same file, then in the nearest
-    folder, then with the likest file name, then the smallest id. ref_id, entity_id, strategy, score; unresolved ones are null.
-
-    One equi join by name; a name that very many entities share only meets the references to it, and AQE splits it."""
-    named = one_row_each(entities, "name", "file_path").select(F.col("id").alias("entity_id"), "name", F.col("file_path").alias("entity_path")).filter("name <> ''")
-    rows = references.select("ref_id", "name", F.col("file_path").alias("ref_path")).join(named, "name", "left")
-    close = path_closeness(F.col("ref_path"), F.col("entity_path"))
-    rows = rows.withColumn("close", F.coalesce(close, F.lit(0.0))).withColumn("like", F.coalesce(naming_score(F.col("name"), F.col("entity_path")), F.lit(0.0)))
-    same = F.col("ref_path") == F.col("entity_path")
-    rows = rows.withColumn("strategy", F.when(F.col("entity_id").isNull(), None).when(same, "same_file").when(F.col("close") >= 0.5, "near").otherwise("name"))
-    rows = rows.withColumn("score", F.when(same, 1.0).otherwise(0.7 * F.col("close") + 0.3 * F.col("like")))
-    rank = F.struct((-F.coalesce("score", F.lit(0.0))).alias("worse"), "entity_id", "strategy", "score")
-    picked = rows.groupBy("ref_id").agg(F.min(rank).alias("r"))
-    return picked.select("ref_id", "r.entity_id", "r.strategy", F.when(F.col("r.entity_id").isNotNull(), F.col("r.score")).alias("score"))
-
-
-def resolve_entity(entities: DataFrame, name: str, kind: str | None = None, limit: int = 10) -> DataFrame:
-    """Candidates for a name, best first: exact 1, case apart 2, same words 3, contained 4, alike by edit distance 5."""
+    """Points for the name of a file against a symbol's: 100 if equal, else 50 if it holds the symbol's, 30 if that holds it, and 10
+    for each word of both. Names are compared in snake case."""
+    a, b = snake(symbol), snake(F.regexp_replace(file_name(path), r"(.)\.[^.]*$", "$1"))
+    points = F.when(F.contains(b, a), 50.0).otherwise(0.0) + F.when(F.contains(a, b), 30.0).otherwise(0.0) + 10.0 * _shared_words(a, b)
+    return F.when(a == b, 100.0).otherwise(points)
+
+
+def folder_score(symbol: Column, path: Column) -> Column:
+    """Points for the folders of a file against a symbol's name: 30 for the file's own folder of that name and 20 for another, else
+    10 where one name holds the other, and 5 for each word of both."""
+    a, parts = snake(symbol), F.split(path, "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    last = F.size(folders) - 1
+
+    def points(part: Column, i: Column) -> Column:
+        b = snake(part)
+        exact = F.when(i == last, 30.0).otherwise(20.0)
+        return F.when(a == b, exact).when(F.contains(b, a) | F.contains(a, b), 10.0).otherwise(0.0) + 5.0 * _shared_words(a, b)
+
+    return F.aggregate(F.transform(folders, points), F.lit(0.0), lambda s, x: s + x)
+
+
+def resolve_references(references: DataFrame, entities: DataFrame, frequencies: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The entity each reference (ref_id, name, type, import_path, file_path) means: ref_id, entity_id, strategy, score; null where
+    none is found. The first of these that finds one:
+
+    database: `known` (name, file_path, entity_id, score) from an earlier run, for the same file, with a score of 0.5 or more;
+    import_path: the one entity of the name (the smallest id) whose module is the import path or ends in it, 0.95;
+    exact_match: the name and type of one entity, 1; of n entities whose name is imported somewhere, the smallest id, 0.7 + 0.2 / n;
+    proximity: of the entities of the name, the one with the best sum of nearness of files (0.4), naming (0.25), folders (0.15)
+    and frequency of the name among imports (0.05, all from 50 on), if that reaches 0.5.
+
+    frequencies: (name, n). References that agree in all but ref_id are resolved once, so a name that many share meets its
+    entities once for each file that refers to it."""
+    named = one_row_each(entities, "name", "type", "file_path").select(F.col("id").alias("entity_id"), "name", entity_type(F.col("type")).alias("kind"), F.col("file_path").alias("entity_path")).filter("name <> ''")
+    keys = ["name", "type", "import_path", "file_path"]
+    cases = references.select(*keys).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"x_{c}")) for c in keys]
+    found = []
+    if known is not None:
+        found.append(cases.join(known.filter("score >= 0.5"), ["name", "file_path"]).select(*keys, "entity_id", F.lit("database").alias("strategy"), "score", F.lit(1).alias("turn")))
+    module, wanted = module_path(F.col("entity_path")), F.col("import_path")
+    paths = cases.filter("import_path <> ''").join(named, "name").filter((module == wanted) | module.endswith(F.concat(F.lit("."), wanted)))
+    found.append(paths.select(*keys, "entity_id", F.lit("import_path").alias("strategy"), F.lit(0.95).alias("score"), F.lit(2).alias("turn")))
+    often = frequencies if frequencies is not None else references.sparkSession.createDataFrame([], "name string, n long")
+    kinds = named.groupBy("name", F.col("kind").alias("type")).agg(F.count("*").alias("same"), F.min("entity_id").alias("entity_id")).join(often, "name", "left")
+    sure = F.when(F.col("same") == 1, 1.0).when(F.col("n") > 0, 0.7 + 0.2 / F.col("same"))
+    kinds = kinds.select("name", F.col("type").alias("kind"), "entity_id", sure.alias("score")).filter("score is not null")
+    exact = cases.withColumn("kind", entity_type(F.col("type"))).join(kinds, ["name", "kind"])
+    found.append(exact.select(*keys, "entity_id", F.lit("exact_match").alias("strategy"), "score", F.lit(3).alias("turn")))
+    near = cases.join(exact.select(*(F.col(c).alias(f"x_{c}") for c in keys)), reduce(lambda a, b: a & b, same), "left_anti").join(named, "name").join(often, "name", "left")
+    own = F.col("entity_path")
+    score = 0.4 * path_proximity(F.col("file_path"), own) + 0.0025 * naming_score(F.col("name"), own) + 0.0015 * folder_score(F.col("name"), own) + 0.05 * F.least(F.coalesce("n", F.lit(0)) / 50, F.lit(1.0))
+    found.append(near.select(*keys, "entity_id", F.lit("proximity").alias("strategy"), score.alias("score"), F.lit(4).alias("turn")).filter("score >= 0.5"))
+    rank = F.struct("turn", (-F.col("score")).alias("worse"), "entity_id", "strategy", "score")
+    best = union_all(found).groupBy(*keys).agg(F.min(rank).alias("r")).select(*(F.col(c).alias(f"x_{c}") for c in keys), "r")
+    return references.join(best, reduce(lambda a, b: a & b, same), "left").select("ref_id", "r.entity_id", "r.strategy", "r.score")
+
+
+def resolution_statistics(resolved: DataFrame) -> DataFrame:
+    """strategy (null for what is unresolved), references, score (mean)."""
+    return resolved.groupBy("strategy").agg(F.count("*").alias("references"), F.avg("score").alias("score"))
+
+
+def _ratios(names: pd.Series, wanted: pd.Series) -> pd.Series:
+    from difflib import SequenceMatcher
+
+    return pd.Series([SequenceMatcher(None, w.lower(), n.lower()).ratio() for n, w in zip(names, wanted)], dtype="float64")
+
+
+def matching_ratio(name: Column, wanted: Column) -> Column:
+    """Twice the characters in matching blocks over all characters of two names, case apart; null where lengths alone keep it below 0.8."""
+    shorter, both = F.least(F.length(name), F.length(wanted)), F.length(name) + F.length(wanted)
+    return F.when(2 * shorter >= 0.8 * both, F.pandas_udf(_ratios, "double")(F.when(2 * shorter >= 0.8 * both, name).otherwise(""), wanted))
+
+
+def resolve_entity(entities: DataFrame, name: str, kind: str | None = None, limit: int = 10, fuzzy: float | None = 0.8) -> DataFrame:
+    """Candidates for a name, best first: exact 1, case apart 2, same words 3, contained 4, alike 5 (matching blocks reach `fuzzy`)."""
     rows = one_row_each(entities, "name", "type", "file_path")
     if kind:
         rows = rows.filter(entity_type(F.col("type")) == kind)
     wanted = F.array_join(words_of_name(F.lit(name)), " ")
-    far = F.levenshtein(F.lower("name"), F.lit(name.lower()))
     tier = (
         F.when(F.col("name") == name, 1)
         .when(F.lower("name") == name.lower(), 2)
         .when(F.array_join(words_of_name(F.col("name")), " ") == wanted, 3)
         .when(F.lower("name").contains(name.lower()), 4)
-        .when(far <= 0.2 * F.greatest(F.length("name"), F.lit(len(name))), 5)
     )
-    return rows.withColumn("tier", tier).filter("tier is not null").select("id", "name", "type", "file_path", "tier").orderBy("tier", F.length("name"), "id").limit(limit)
+    rows = rows.withColumn("tier", tier).withColumn("ratio", F.lit(None).cast("double"))
+    if fuzzy is not None:
+        near = rows.filter("tier is null").withColumn("ratio", matching_ratio(F.col("name"), F.lit(name))).filter(F.col("ratio") >= fuzzy).withColumn("tier", F.lit(5))
+        rows = rows.filter("tier is not null").unionByName(near)
+    return rows.filter("tier is not null").select("id", "name", "type", "file_path", "tier").orderBy("tier", F.desc_nulls_last("ratio"), F.length("name"), "id").limit(limit)
+
+
+def suggestions(entities: DataFrame, name: str, limit: int = 10, least: float = 0.0) -> DataFrame:
+    """The names most like a name by matching blocks, best first: name, ratio."""
+    names = entities.select("name").filter("name <> ''").distinct()
+    ratio = F.pandas_udf(_ratios, "double")(F.col("name"), F.lit(name))
+    return names.withColumn("ratio", ratio).filter(F.col("ratio") >= least).orderBy(F.desc("ratio"), "name").limit(limit)
 
 
 def external_kind(name: Column, kind: Column) -> Column:

@@ -9,6 +9,8 @@ from lodestrand.functions.text import keywords
 from lodestrand.operators import events as E
 from lodestrand.operators import memory as M
 from lodestrand.plans.registry import Registry
+from lodestrand.plans.search_queries import questions
+from lodestrand.plans.text_queries import kw
 from lodestrand.sources.tables import table
 
 R = Registry()
@@ -82,60 +84,57 @@ R.add("x_strategy", lambda s, d: events(s, d).select("event_id", E.strategy(F.co
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
-    """Session memos and meeting notes as memory items, with vectors of the embeddings table."""
-    n = 500
+    """Session memos and meeting notes as memory items; their vectors are those of the whole embeddings table, in turn."""
     docs = table(spark, folder, "documents").filter(F.col("doc_kind").isin("session_memo", "meeting_note") & F.col("text").isNotNull())
+    vectors = table(spark, folder, "embeddings")
+    size = vectors.agg((F.max("vec_id") + 1).alias("size"))  # one row
     k = F.col("doc_id") % 100
-    rows = docs.select(
+    rows = docs.crossJoin(F.broadcast(size)).select(
         F.col("doc_id").alias("id"), F.col("source").alias("agent_id"), F.col("text").alias("content"), (k / 100).alias("importance"), F.when(k % 7 == 0, None).otherwise((k % 10) / 10).alias("confidence"),
-        (F.col("doc_id") % 4).alias("access_count"), F.col("created_at").cast("timestamp").alias("created_at"), M.tier_of(k / 100).alias("tier"), F.when(F.col("doc_id") % 11 == 0, "negated").otherwise("active").alias("status"),
-        F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.concat_ws(":", "source", "doc_kind")).alias("subject"), (F.col("doc_id") % n).alias("vec_id"),
+        (F.col("doc_id") % 14).alias("access_count"), F.col("created_at").cast("timestamp").alias("created_at"), M.tier_of(k / 100).alias("tier"), F.when(F.col("doc_id") % 11 == 0, "negated").otherwise("active").alias("status"),
+        F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.concat_ws(":", "source", "doc_kind")).alias("subject"), (F.col("doc_id") % F.col("size")).alias("vec_id"),
+        F.concat(F.lit('{"tags": ["'), F.col("source"), F.lit('", "'), F.coalesce("lang", F.lit("")), F.lit('"], "type": "'), F.col("doc_kind"), F.lit('"}')).alias("metadata"),
     )
-    vectors = table(spark, folder, "embeddings").filter(F.col("vec_id") < n).select("vec_id", F.col("embedding").alias("vector"))
-    return rows.join(vectors, "vec_id")
+    return rows.join(vectors.select("vec_id", F.col("embedding").alias("vector")), "vec_id")
 
 
 IT = """items AS (SELECT doc_id AS id, source AS agent_id, text AS content, (doc_id % 100) / 100 AS importance, CASE WHEN (doc_id % 100) % 7 = 0 THEN NULL ELSE ((doc_id % 100) % 10) / 10 END AS confidence,
-  doc_id % 4 AS access_count, created_at, CASE WHEN (doc_id % 100) / 100 >= 0.9 THEN 'semantic' WHEN (doc_id % 100) / 100 >= 0.7 THEN 'episodic' ELSE 'working' END AS tier,
+  doc_id % 14 AS access_count, created_at, CASE WHEN (doc_id % 100) / 100 >= 0.9 THEN 'semantic' WHEN (doc_id % 100) / 100 >= 0.7 THEN 'episodic' ELSE 'working' END AS tier, doc_kind, lang, source,
   CASE WHEN doc_id % 11 = 0 THEN 'negated' ELSE 'active' END AS status, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source || ':' || doc_kind END AS subject, embedding AS vector
-  FROM documents JOIN embeddings ON vec_id = doc_id % 500 WHERE doc_kind IN ('session_memo', 'meeting_note') AND text IS NOT NULL),
-q AS (SELECT embedding AS wanted, (SELECT max(created_at) FROM documents) AS now FROM embeddings WHERE vec_id = 0),
-s AS (SELECT items.*, list_cosine_similarity(vector::DOUBLE[], wanted::DOUBLE[]) AS near, (epoch_us(now) - epoch_us(created_at)) / 3.6e9 AS hours FROM items, q),
+  FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT max(vec_id) + 1 FROM embeddings) WHERE doc_kind IN ('session_memo', 'meeting_note') AND text IS NOT NULL),
+q AS (SELECT vec_id AS query_id, embedding AS wanted, (SELECT max(created_at) FROM documents) AS now FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, items.*, round(list_cosine_similarity(vector::DOUBLE[], wanted::DOUBLE[]), 9) AS near, (epoch_us(now) - epoch_us(created_at)) / 3.6e9 AS hours FROM items, q),
 r AS (SELECT *, CASE tier WHEN 'episodic' THEN 0.7 * near + 0.3 * exp(-0.029 * hours) WHEN 'semantic' THEN 0.7 * near + 0.3 * coalesce(nullif(confidence, 0), 0.5) ELSE near END AS rel,
   greatest(0, 1 - hours / 168) AS fresh FROM s WHERE status = 'active')"""
+ASKED = "session_memo on a stale patient in en"
 
 
 def _memory(strategy: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        one = table(spark, folder, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("wanted"))
         now = table(spark, folder, "documents").agg(F.max(F.col("created_at").cast("timestamp")).alias("now"))
-        rows = items(spark, folder).crossJoin(F.broadcast(one)).crossJoin(F.broadcast(now))  # one row each
-        found = M.retrieve(rows, F.col("wanted"), F.col("now"), strategy, 25, words=F.array(F.lit("session"), F.lit("stale"), F.lit("patient")))
-        return found.select("id", "tier", F.round("score", 6).alias("score"))
+        rows = items(spark, folder).crossJoin(F.broadcast(now))  # one row
+        given = {"words": F.array(F.lit("session"), F.lit("stale"), F.lit("patient")), "text": ASKED}
+        found = M.retrieve_all(rows, questions(spark, folder), F.col("now"), strategy, 25, **given)
+        return found.select("query_id", "id", "tier", F.round("score", 6).alias("score"))
 
     return run
 
 
+_WORDS_OF_ITEM = f"(SELECT id, list_distinct({kw('content')}) AS w FROM items)"
 for _name, _sql in (
     ("relevance", "rel"),
     ("recency", "fresh * CASE tier WHEN 'working' THEN 1.0 WHEN 'episodic' THEN 0.8 ELSE 0.6 END"),
     ("importance", "importance * greatest(0, rel)"),
     ("adaptive", "0.5 * rel + 0.3 * fresh + 0.2 * importance"),
+    ("keyword", "0.7 * rel + 0.3 * len(list_intersect(w, ['session', 'stale', 'patient'])) / (len(w) + 3 - len(list_intersect(w, ['session', 'stale', 'patient'])))"),
+    ("metadata", f"0.8 * rel + 0.2 * (CAST(contains('{ASKED}', lower(source)) OR contains('{ASKED}', lower(coalesce(lang, ''))) AS INTEGER) + CAST(contains('{ASKED}', lower(doc_kind)) AS INTEGER)) / 2"),
 ):
-    R.add(f"m_{_name}", _memory(_name), f"WITH {IT} SELECT id, tier, round({_sql}, 6) AS score FROM r ORDER BY {_sql} DESC, id LIMIT 25")
-R.add("m_keyword", _memory("keyword"))
-
-
-def m_batch(spark: SparkSession, folder: str) -> DataFrame:
-    queries = table(spark, folder, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return M.batch_retrieve(items(spark, folder), queries, 5).select("query_id", "id", F.round("score", 6).alias("score"))
-
-
+    _from = f"(SELECT r.*, w FROM r JOIN {_WORDS_OF_ITEM} k ON k.id = r.id) r" if _name == "keyword" else "r"
+    R.add(f"m_{_name}", _memory(_name), f"WITH {IT} SELECT query_id, id, tier, round({_sql}, 6) AS score FROM {_from} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_sql} DESC, id) <= 25")
 R.add(
     "m_batch",
-    m_batch,
-    f"""WITH {IT} SELECT e.vec_id AS query_id, i.id, round(list_cosine_similarity(i.vector::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM items i, embeddings e WHERE e.vec_id < 5 AND status = 'active'
-QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY list_cosine_similarity(i.vector::DOUBLE[], e.embedding::DOUBLE[]) DESC, i.id) <= 5""",
+    lambda s, d: M.batch_retrieve(items(s, d), questions(s, d), 5).select("query_id", "id", F.round("score", 6).alias("score")),
+    f"WITH {IT} SELECT query_id, id, round(near, 6) AS score FROM s WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY near DESC, id) <= 5",
 )
 R.add("w_latest_of_subject", lambda s, d: M.latest_of_subject(items(s, d)).select("id", "subject"), f"WITH {IT} SELECT id, subject FROM items QUALIFY subject IS NULL OR row_number() OVER (PARTITION BY subject ORDER BY created_at DESC, id) = 1")
 R.add(
@@ -143,7 +142,7 @@ R.add(
     lambda s, d: M.promote(items(s, d)).select("id", "tier", F.round("confidence", 6).alias("confidence")),
     f"""WITH {IT}, o AS (SELECT *, CASE WHEN tier = 'working' AND importance >= 0.8 THEN 'episodic' ELSE tier END AS once FROM items),
 n AS (SELECT *, CASE WHEN tier = 'semantic' OR importance >= 0.9 OR (once = 'episodic' AND access_count > 1) THEN 'semantic' ELSE once END AS fresh FROM o)
-SELECT id, fresh AS tier, round(CASE WHEN fresh = 'semantic' AND tier <> 'semantic' THEN least(1, importance * 0.8 + 0.05 * least(access_count, 4)) ELSE confidence END, 6) AS confidence FROM n""",
+SELECT id, fresh AS tier, round(CASE WHEN fresh = 'semantic' AND tier <> 'semantic' THEN least(1, importance * 0.7 + 0.3 * least(access_count / 10, 1.0)) ELSE confidence END, 6) AS confidence FROM n""",
 )
 R.add("m_decay", lambda s, d: M.decay(items(s, d)).select("id", F.round("importance", 6).alias("importance")), f"WITH {IT} SELECT id, round(greatest(0, importance * 0.95), 6) AS importance FROM items")
 R.add("m_facts", lambda s, d: M.facts(items(s, d).withColumn("relationship", F.lit("is")).withColumn("object", F.lit("x")), relationship="IS", limit=20).select("id"), f"WITH {IT} SELECT id FROM items WHERE tier = 'semantic' ORDER BY confidence DESC NULLS LAST, id LIMIT 20")
@@ -154,7 +153,15 @@ R.add(
     f"WITH {IT}, u AS (SELECT agent_id, id, CAST(sum(length(content)) OVER (PARTITION BY agent_id ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM items) SELECT * FROM u WHERE used <= 4000",
 )
 R.add("m_summary", lambda s, d: items(s, d).select("id", M.summary(F.col("content")).alias("summary")), f"WITH {IT} SELECT id, CASE WHEN length(content) > 150 THEN substring(content, 1, 150) || '...' ELSE content END AS summary FROM items")
-R.add("a_concepts", lambda s, d: M.concepts(items(s, d)).select("word", "items", "times", F.round("importance", 6).alias("importance"), F.round("confidence", 6).alias("confidence")))
+R.add(
+    "a_concepts",
+    lambda s, d: M.concepts(items(s, d)).select("word", "times", "items", F.round("importance", 6).alias("importance"), F.round("confidence", 6).alias("confidence")),
+    f"""WITH {IT}, w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(content), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: length(w) > 3)) AS w FROM items),
+c AS (SELECT regexp_replace(regexp_replace(w, '^[.,!?;:()\\[\\]{{}}"''-]+', ''), '[.,!?;:()\\[\\]{{}}"''-]+$', '') AS word, count(*) AS times FROM w GROUP BY 1 HAVING word <> ''),
+t AS (SELECT * FROM (SELECT * FROM c ORDER BY times DESC, word LIMIT 20) WHERE times > 1 ORDER BY times DESC, word LIMIT 10)
+SELECT word, times, count(*) AS items, round(least(1, avg(importance) * 1.1), 6) AS importance, round(least(1, count(*) / (SELECT count(*) FROM items)), 6) AS confidence
+FROM t JOIN items ON contains(lower(content), word) GROUP BY ALL""",
+)
 R.add("m_recall", lambda s, d: M.recall(items(s, d).select("id", F.col("importance").alias("score")).orderBy(F.desc("score"), "id").limit(20), items(s, d).select("id", F.size(keywords(F.col("content"))).cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(20)))
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -69,13 +69,7 @@ R.add(
 x AS (SELECT coalesce(a.e.file_path, '') AS file_path, count(*) AS affected, min(depth) AS nearest, count(*) FILTER ({_PERSONAL}) AS p FROM nodes n LEFT JOIN about a ON a.id = n.node WHERE depth > 0 GROUP BY 1)
 SELECT file_path, affected, nearest, CASE WHEN p > 0 THEN 'critical' WHEN affected >= 20 THEN 'high' WHEN affected >= 5 THEN 'medium' ELSE 'low' END AS risk FROM x""",
 )
-R.add(
-    "g_cycles",
-    lambda s, d: G.cycles(edges(s, d, ["calls", "references", "imports"]), 3),
-    f"""WITH {EDGES}, e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges WHERE type IN ('calls', 'references', 'imports') AND source_id <> target_id)
-SELECT 2 AS length, x.a || ' > ' || x.b AS path FROM e x JOIN e y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b
-UNION ALL SELECT 3, x.a || ' > ' || x.b || ' > ' || y.b FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b""",
-)
+R.add("g_cycles", lambda s, d: G.cycles(edges(s, d, ["calls", "references", "imports"]), 6))
 R.add(
     "g_edge_confidence",
     lambda s, d: rel(s, d).select("id", G.edge_confidence(F.col("metadata"), F.lower(F.trim("type"))).alias("confidence")).distinct(),
@@ -118,25 +112,60 @@ SELECT source_id, target_id, type, CASE WHEN a AND b THEN 'both' WHEN a THEN 'so
 R.add("j_isolated", lambda s, d: G.isolated(ents(s, d), rel(s, d)), f"WITH {EDGES} SELECT DISTINCT id FROM graph_entities WHERE id NOT IN (SELECT source_id FROM edges UNION SELECT target_id FROM edges)")
 
 
-def _references(spark: SparkSession, folder: str) -> DataFrame:
-    """Calls by the name of what they call and the file of the caller, as if the target weren't known yet."""
+def _references(spark: SparkSession, folder: str, typed: bool) -> DataFrame:
+    """Calls by the name (and type) of what they call and the file of the caller, as if the target weren't known yet."""
     e = ents(spark, folder)
-    named = G.one_row_each(e, "name").select(F.col("id").alias("target_id"), "name")
+    named = G.one_row_each(e, "name", "type").select(F.col("id").alias("target_id"), "name", F.col("type").alias("kind"))
     placed = G.one_row_each(e, "file_path").select(F.col("id").alias("source_id"), "file_path")
     calls = edges(spark, folder, ["calls"]).join(named, "target_id").join(placed, "source_id")
-    return calls.select(G.relationship_id("source_id", "target_id").alias("ref_id"), "name", "file_path").distinct()
+    kind = F.col("kind") if typed else F.lit(None).cast("string")
+    return calls.select(G.relationship_id("source_id", "target_id").alias("ref_id"), "name", kind.alias("type"), F.lit(None).cast("string").alias("import_path"), "file_path").distinct()
+
+
+def imports_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """How often a name is imported: name, n."""
+    named = G.one_row_each(ents(spark, folder), "name").select(F.col("id").alias("target_id"), "name")
+    return edges(spark, folder, ["imports"]).join(named, "target_id").groupBy("name").agg(F.count("*").alias("n"))
 
 
-R.add("j_resolve_references", lambda s, d: G.resolve_references(_references(s, d), ents(s, d)).select("ref_id", "entity_id", "strategy", F.round("score", 6).alias("score")))
+def _resolved(typed: bool):
+    return lambda s, d: G.resolve_references(_references(s, d, typed), ents(s, d), imports_by_name(s, d))
+
+
+R.add("j_resolve_references", lambda s, d: _resolved(False)(s, d).select("ref_id", "entity_id", "strategy", F.round("score", 6).alias("score")))
+_KIND = "regexp_replace(lower(trim({})), '^code_', '')"
+_EXACT = f"""one AS (SELECT id, min({{'name': name, 'type': type}}) AS e FROM graph_entities GROUP BY id), file AS (SELECT id, min(file_path) AS file_path FROM graph_entities GROUP BY id),
+often AS (SELECT e.name AS name, count(*) AS n FROM edges JOIN one ON one.id = target_id WHERE edges.type = 'imports' GROUP BY 1),
+kinds AS (SELECT e.name AS name, {_KIND.format('e.type')} AS kind, count(*) AS same, min(id) AS entity_id FROM one WHERE e.name <> '' GROUP BY ALL),
+refs AS (SELECT DISTINCT substring(sha256(source_id || '|' || target_id), 1, 16) AS ref_id, e.name AS name, {_KIND.format('e.type')} AS kind FROM edges JOIN one ON one.id = target_id JOIN file ON file.id = source_id WHERE edges.type = 'calls'),
+got AS (SELECT ref_id, entity_id, CASE WHEN same = 1 THEN 1.0 WHEN n > 0 THEN 0.7 + 0.2 / same END AS score FROM refs JOIN kinds USING (name, kind) LEFT JOIN often USING (name))"""
+R.add("j_resolve_exact", lambda s, d: _resolved(True)(s, d).filter("strategy = 'exact_match'").select("ref_id", "entity_id", F.round("score", 6).alias("score")), f"WITH {EDGES}, {_EXACT} SELECT ref_id, entity_id, round(score, 6) AS score FROM got WHERE score IS NOT NULL")
+R.add("a_resolution", lambda s, d: G.resolution_statistics(_resolved(True)(s, d).filter("strategy = 'exact_match'")).select("strategy", "references", F.round("score", 6).alias("score")), f"WITH {EDGES}, {_EXACT} SELECT 'exact_match' AS strategy, count(*) AS \"references\", round(avg(score), 6) AS score FROM got WHERE score IS NOT NULL")
+_SNAKE = "regexp_replace(regexp_replace(lower(replace(regexp_replace(regexp_replace({c}, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '-', '_')), '_+', '_', 'g'), '^_+|_+$', '', 'g')"
+_HERE = "src/core/merge/slot_query.py"
+R.add(
+    "x_path_scores",
+    lambda s, d: ents(s, d).filter("file_path <> ''").select("name", "file_path", F.round(G.path_proximity(F.lit(_HERE), F.col("file_path")), 6).alias("near"), G.naming_score(F.col("name"), F.col("file_path")).alias("naming"), G.folder_score(F.col("name"), F.col("file_path")).alias("folders")).distinct(),
+    f"""WITH e AS (SELECT DISTINCT name, file_path, string_split(file_path, '/') AS p, string_split('{_HERE}', '/') AS h FROM graph_entities WHERE file_path <> ''),
+c AS (SELECT *, len(list_filter(range(1, least(len(p), len(h)) + 1), lambda i: p[1:i] = h[1:i])) AS common, {_SNAKE.format(c='name')} AS a, {_SNAKE.format(c="regexp_replace(p[-1], '(.)[.][^.]*$', '\\1')")} AS b FROM e),
+f AS (SELECT name, file_path, unnest(p[1:len(p) - 1]) AS part, unnest(range(1, len(p))) AS i, len(p) - 1 AS last, a FROM c),
+g AS (SELECT *, {_SNAKE.format(c='part')} AS b FROM f),
+s AS (SELECT name, file_path, sum(CASE WHEN a = b THEN CASE WHEN i = last THEN 30 ELSE 20 END WHEN contains(b, a) OR contains(a, b) THEN 10 ELSE 0 END + 5 * len(list_intersect(list_distinct(string_split(a, '_')), list_distinct(string_split(b, '_'))))) AS folders FROM g GROUP BY ALL)
+SELECT c.name, c.file_path, round(CASE WHEN c.file_path = '{_HERE}' THEN 1.0 WHEN regexp_replace(c.file_path, '/?[^/]*$', '') = 'src/core/merge' THEN 0.8 ELSE greatest(0.3, 1 - 0.1 * (len(p) + len(h) - 2 * common)) END, 6) AS near,
+  CAST(CASE WHEN a = b THEN 100 ELSE CASE WHEN contains(b, a) THEN 50 ELSE 0 END + CASE WHEN contains(a, b) THEN 30 ELSE 0 END + 10 * len(list_intersect(list_distinct(string_split(a, '_')), list_distinct(string_split(b, '_')))) END AS DOUBLE) AS naming,
+  CAST(coalesce(folders, 0) AS DOUBLE) AS folders FROM c LEFT JOIN s ON s.name = c.name AND s.file_path = c.file_path""",
+)
 R.add(
     "g_resolve_entity",
-    lambda s, d: G.resolve_entity(ents(s, d), "mergeSlot", limit=20).select("id", "tier"),
+    lambda s, d: G.resolve_entity(ents(s, d), "mergeSlot", limit=20, fuzzy=None).select("id", "tier"),
     """WITH e AS (SELECT id, (min({'name': name, 'type': type, 'file_path': file_path})).name AS name FROM graph_entities GROUP BY id),
 t AS (SELECT id, name, CASE WHEN name = 'mergeSlot' THEN 1 WHEN lower(name) = 'mergeslot' THEN 2
   WHEN array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[\\s_.\\-]+'), lambda w: w <> ''), ' ') = 'merge slot' THEN 3
-  WHEN contains(lower(name), 'mergeslot') THEN 4 WHEN levenshtein(lower(name), 'mergeslot') <= 0.2 * greatest(length(name), 9) THEN 5 END AS tier FROM e)
+  WHEN contains(lower(name), 'mergeslot') THEN 4 END AS tier FROM e)
 SELECT id, tier FROM t WHERE tier IS NOT NULL ORDER BY tier, length(name), id LIMIT 20""",
 )
+R.add("g_fuzzy_entity", lambda s, d: G.resolve_entity(ents(s, d), "mergeSlotQuery", limit=20).select("id", "tier"))
+R.add("g_suggestions", lambda s, d: G.suggestions(ents(s, d), "mergeSlotQuery").select("name", F.round("ratio", 6).alias("ratio")))
 R.add(
     "u_compare_types",
     lambda s, d: (lambda e: e.groupBy("project_id").agg(F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types")))(rel(s, d).select("project_id", F.lower(F.trim("type")).alias("type"))),

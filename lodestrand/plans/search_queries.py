@@ -23,27 +23,29 @@ def chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return current_rows(table(spark, folder, "document_chunks").select("id", "indexed_at", *columns)).drop("indexed_at")
 
 
-def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """embeddings, and the vector of the smallest id as a one-row query."""
-    rows = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "id")
-    return rows, rows.filter("id = 0").select(F.col("embedding").alias("wanted"))
+def questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors that are searched for: every embedding whose id is divisible by 50."""
+    return table(spark, folder, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.wanted::DOUBLE[])"
-_Q = "q AS (SELECT embedding AS wanted FROM embeddings WHERE vec_id = 0)"
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+
+
+_COS = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.wanted::DOUBLE[]), 9)"
+_Q = "q AS (SELECT vec_id AS query_id, embedding AS wanted FROM embeddings WHERE vec_id % 50 = 0)"
 
 
 def _vector(mode: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        rows, one = _vectors(spark, folder)
-        found = S.vector_search(rows.crossJoin(F.broadcast(one)), F.col("wanted"), 20, vector="embedding", mode=mode)
-        return found.select(F.col("id").alias("vec_id"), "label", F.round("score", 6).alias("score"))
+        found = S.vector_search_all(_vectors(spark, folder), questions(spark, folder), 20, mode=mode)
+        return found.select("query_id", F.col("id").alias("vec_id"), "label", F.round("score", 6).alias("score"))
 
     return run
 
 
 for _mode, _sql in (("clamp", f"greatest(0, least(1, {_COS}))"), ("half", f"({_COS} + 1) / 2"), ("inverse", f"1 / (2 - {_COS})")):
-    R.add(f"v_vector_{_mode}", _vector(_mode), f"WITH {_Q} SELECT vec_id, label, round({_sql}, 6) AS score FROM embeddings e, q ORDER BY {_sql} DESC, vec_id LIMIT 20")
+    R.add(f"v_vector_{_mode}", _vector(_mode), f"WITH {_Q} SELECT query_id, vec_id, label, round({_sql}, 6) AS score FROM embeddings e, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, vec_id) <= 20")
 
 
 def v_fraction(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,31 +78,50 @@ SELECT doc_id, round(score, 6) AS score FROM x ORDER BY x.score DESC, doc_id LIM
 
 
 def _lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows, one = _vectors(spark, folder)
-    found = S.vector_search(rows.crossJoin(F.broadcast(one)), F.col("wanted"), 30, vector="embedding").select("id", "score")
+    """For each vector that is searched for: the most similar vectors, and the texts that a text search finds."""
+    wanted = questions(spark, folder)
+    found = S.vector_search_all(_vectors(spark, folder).drop("label"), wanted, 30).select("query_id", "id", "score")
     docs = table(spark, folder, "documents").select((F.col("doc_id") - 1000000).alias("id"), F.col("text").alias("content"))
-    return found, S.fraction_search(docs, WORDS, 30).select("id", "score")
+    return found, S.fraction_search(docs, WORDS, 30).select("id", "score").crossJoin(wanted.select("query_id"))  # 30 rows for each query
 
 
+_TOLD = _FRACTION.replace("content", "text")
 _LISTS = f"""{_Q},
-v AS (SELECT vec_id AS id, greatest(0, least(1, {_COS})) AS score FROM embeddings e, q ORDER BY score DESC, id LIMIT 30),
-t AS (SELECT doc_id - 1000000 AS id, {_FRACTION.replace('content', 'text')} AS score FROM documents WHERE {_FRACTION.replace('content', 'text')} >= 0.01 ORDER BY score DESC, id LIMIT 30)"""
+v AS (SELECT query_id, vec_id AS id, greatest(0, least(1, {_COS})) AS score FROM embeddings e, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, vec_id) <= 30),
+one AS (SELECT doc_id - 1000000 AS id, {_TOLD} AS score FROM documents WHERE {_TOLD} >= 0.01 ORDER BY score DESC, id LIMIT 30),
+t AS (SELECT query_id, id, score FROM one, q)"""
 R.add(
     "v_rrf",
-    lambda s, d: S.fuse_by_rank(*_lists(s, d)).select("id", F.round("score", 6).alias("score")),
+    lambda s, d: S.fuse_by_rank(*_lists(s, d), keys=["query_id"]).select("query_id", "id", F.round("score", 6).alias("score")),
     f"""WITH {_LISTS},
-p AS (SELECT id, 0.7 * greatest(0.1, score) / (60 + row_number() OVER (ORDER BY score DESC, id)) AS part FROM v
-  UNION ALL SELECT id, 0.3 * greatest(0.1, score) / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM t),
-f AS (SELECT id, sum(part) * CASE WHEN count(*) > 1 THEN 1.3 ELSE 1 END AS score FROM p GROUP BY id)
-SELECT id, round(score / max(score) OVER (), 6) AS score FROM f""",
+p AS (SELECT query_id, id, 0.7 * greatest(0.1, score) / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)) AS part FROM v
+  UNION ALL SELECT query_id, id, 0.3 * greatest(0.1, score) / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)) FROM t),
+f AS (SELECT query_id, id, sum(part) * CASE WHEN count(*) > 1 THEN 1.3 ELSE 1 END AS score FROM p GROUP BY ALL)
+SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM f""",
 )
 R.add(
     "v_linear",
-    lambda s, d: S.fuse_by_weight(*_lists(s, d)).select("id", F.round("score", 6).alias("score")),
+    lambda s, d: S.fuse_by_weight(*_lists(s, d), keys=["query_id"]).select("query_id", "id", F.round("score", 6).alias("score")),
     f"""WITH {_LISTS},
-f AS (SELECT coalesce(v.id, t.id) AS id, 0.7 * coalesce(v.score, 0) + 0.3 * coalesce(t.score, 0) AS score FROM v FULL JOIN t ON v.id = t.id)
-SELECT id, round(score / max(score) OVER (), 6) AS score FROM f""",
+f AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.id, t.id) AS id, 0.7 * coalesce(v.score, 0) + 0.3 * coalesce(t.score, 0) AS score FROM v FULL JOIN t ON v.id = t.id AND v.query_id = t.query_id)
+SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM f""",
+)
+
+
+def _chunk_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = chunks(spark, folder, "content", "element_name")
+    return S.fraction_search(rows, "merge slot query", 60).select("id", "score"), S.fraction_search(rows, WORDS, 60).select("id", "score")
+
+
+_TWO = f"""{NOW}, v AS (SELECT id, (CAST(contains(lower(content), 'merge') AS INTEGER) + CAST(contains(lower(content), 'slot') AS INTEGER) + CAST(contains(lower(content), 'query') AS INTEGER)) / 3 AS score FROM now QUALIFY score >= 0.01 AND row_number() OVER (ORDER BY score DESC, id) <= 60),
+t AS (SELECT id, {_FRACTION} AS score FROM now QUALIFY score >= 0.01 AND row_number() OVER (ORDER BY score DESC, id) <= 60)"""
+R.add(
+    "v_merge_first",
+    lambda s, d: S.merge_first(*_chunk_lists(s, d), 40).select("id", F.round("score", 6).alias("score"), "source"),
+    f"""WITH {_TWO}, m AS (SELECT id, 0.7 * score AS score, 'vector' AS source FROM v UNION ALL SELECT id, 0.3 * score, 'text' FROM t WHERE id NOT IN (SELECT id FROM v))
+SELECT id, round(score, 6) AS score, source FROM m ORDER BY m.score DESC, id LIMIT 40""",
 )
+R.add("u_in_both", lambda s, d: S.in_both(*_chunk_lists(s, d)), f"WITH {_TWO} SELECT id FROM v INTERSECT SELECT id FROM t")
 
 
 def _results(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,24 +171,24 @@ def v_content_boost(spark: SparkSession, folder: str) -> DataFrame:
     return S.boost_content(_results(spark, folder), "staleShard policy").select("id", F.round("score", 6).alias("score"))
 
 
-_HITS = ", ".join(f"CAST(contains(lower(content), '{w}') AS INTEGER) AS h{i}" for i, w in enumerate(("stale", "shard", "policy")))
+_HITS = ", ".join(f"CAST(contains(lower(coalesce(content, '') || ' ' || coalesce(file_path, '')), '{w}') AS INTEGER) AS h{i}" for i, w in enumerate(("stale", "shard", "policy")))
 R.add(
     "v_content_boost",
     v_content_boost,
     f"""WITH {_RESULTS}, h AS (SELECT id, score, {_HITS} FROM found),
-w AS (SELECT *, {', '.join(f'least(20.0, ln(1 + count(*) OVER () / (1 + sum(h{i}) OVER ()))) AS i{i}' for i in range(3))} FROM h),
-s AS (SELECT *, (h0 * i0 + h1 * i1 + h2 * i2) / (i0 + i1 + i2) AS share FROM w)
-SELECT id, round(least(1, score * (1 + CASE WHEN share >= 0.5 THEN 0.3 ELSE 0.3 * share END)), 6) AS score FROM s""",
+w AS (SELECT *, max(score) OVER () AS top, {', '.join(f'1 / greatest(0.05, avg(h{i}) OVER ()) AS w{i}' for i in range(3))} FROM h),
+s AS (SELECT *, (h0 * w0 + h1 * w1 + h2 * w2) / (w0 + w1 + w2) AS share FROM w),
+g AS (SELECT id, CASE WHEN share >= 0.5 THEN greatest(score, top) ELSE score END * (1 + 0.5 * share) AS raised FROM s)
+SELECT id, round(raised / max(raised) OVER (), 6) AS score FROM g""",
 )
 
 
 def v_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole pipeline over current chunks, for the vector of the chunk with the smallest id."""
-    # read four times by the pipeline, so picked once
-    rows = Scratch(spark).write(chunks(spark, folder, "content", "file_path", "content_type", "vector"), "current")
-    one = rows.filter(F.size("vector") == 64).orderBy("id").limit(1).select(F.col("vector").alias("wanted"))
-    found = S.hybrid_search(rows.crossJoin(F.broadcast(one)), WORDS, F.col("wanted"), 20, overview=True)
-    return found.select("id", "file_path", F.round("score", 6).alias("score"), "position")
+    """The whole pipeline over current chunks, for the vector of every embedding whose id is divisible by 50."""
+    # read three times by the pipeline, so picked once
+    rows = Scratch(spark).write(chunks(spark, folder, "content", "file_path", "vector"), "current")
+    found = S.hybrid_search(rows, WORDS, questions(spark, folder), 20, overview=True)
+    return found.select("query_id", "id", "file_path", F.round("score", 6).alias("score"), "position")
 
 
 R.add("v_hybrid", v_hybrid)

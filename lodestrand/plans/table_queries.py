@@ -17,8 +17,11 @@ R = Registry()
 
 
 def sources(spark: SparkSession, folder: str) -> DataFrame:
-    """Current chunks as files: path, text, language by the file's suffix."""
-    return chunks(spark, folder, "file_path", "content").select(F.col("file_path").alias("path"), F.col("content").alias("text"), T.language(F.col("file_path")).alias("language"))
+    """Files: the current chunks of a file joined in order, path (with its project before it), text, language by the suffix."""
+    rows = chunks(spark, folder, "project_id", "file_path", "chunk_index", "content")
+    parts = F.sort_array(F.collect_list(F.struct("chunk_index", "id", "content")))
+    files = rows.groupBy("project_id", "file_path").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("text"))
+    return files.select(F.concat_ws("/", "project_id", "file_path").alias("path"), "text", T.language(F.col("file_path")).alias("language"))
 
 
 def states(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,19 +83,51 @@ R.add(
     "SELECT DISTINCT id, coalesce(docstring, '') AS docstring, coalesce(community_id, '') AS community_id FROM graph_entities",
 )
 _LANG = "lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1))"
+_FILES = f"f AS (SELECT project_id || '/' || file_path AS path, string_agg(content, chr(10) ORDER BY chunk_index, id) AS text, any_value({_LANG}) AS x FROM now GROUP BY project_id, file_path)"
 R.add(
     "s_imports",
     lambda s, d: S.imported_names(sources(s, d)),
-    f"""WITH {NOW}, f AS (SELECT file_path AS path, content AS text, {_LANG} AS x FROM now),
-m AS (SELECT path, 'python' AS kind, unnest(regexp_extract_all(text, '(?m)^\\s*(?:from\\s+([\\w.]+)\\s+import\\b)', 1)) AS name FROM f WHERE x = 'py'
- UNION ALL SELECT path, 'java', unnest(regexp_extract_all(text, '(?m)^\\s*import\\s+(?:static\\s+)?([\\w.]+)', 1)) FROM f WHERE x = 'java'
- UNION ALL SELECT path, CASE x WHEN 'js' THEN 'javascript' ELSE 'typescript' END, unnest(regexp_extract_all(text, '(?m)^\\s*import\\s[^''"]*[''"]([^''"]+)[''"]', 1)) FROM f WHERE x IN ('js', 'ts')
- UNION ALL SELECT path, 'go', unnest(regexp_extract_all(text, '(?m)^\\s*import\\s+"([^"]+)"', 1)) FROM f WHERE x = 'go'
- UNION ALL SELECT path, 'rust', unnest(regexp_extract_all(text, '(?m)^\\s*use\\s+([\\w:]+)', 1)) FROM f WHERE x = 'rs')
-SELECT DISTINCT * FROM m""",
+    f"""WITH {NOW}, {_FILES},
+pf AS (SELECT path, unnest(regexp_extract_all(text, '(?m)^[ \\t]*from[ \\t]+([\\w.]+)[ \\t]+import[ \\t]+(\\([^)]*\\)|[^\\n;#]+)')) AS s FROM f WHERE x = 'py'),
+pi AS (SELECT path, unnest(regexp_extract_all(text, '(?m)^[ \\t]*import[ \\t]+([^\\n;#]+)', 1)) AS s FROM f WHERE x = 'py'),
+j AS (SELECT path, CASE x WHEN 'js' THEN 'javascript' ELSE 'typescript' END AS kind, unnest(regexp_extract_all(text, '(?m)^[ \\t]*import\\s+([^;''"]*?)\\s*from\\s+[''"]([^''"]+)[''"]')) AS s FROM f WHERE x IN ('js', 'ts')),
+java AS (SELECT path, unnest(regexp_extract_all(text, '(?m)^[ \\t]*import\\s+(?:static\\s+)?([\\w.]+)', 1)) AS s FROM f WHERE x = 'java'),
+go AS (SELECT path, unnest(regexp_extract_all(text, '(?m)^[ \\t]*import\\s+(?:[\\w.]+\\s+)?"([^"]+)"', 1)) AS s FROM f WHERE x = 'go'
+  UNION ALL SELECT path, unnest(regexp_extract_all(b, '"([^"]+)"', 1)) FROM (SELECT path, unnest(regexp_extract_all(text, '(?m)^[ \\t]*import\\s*\\(([^)]*)\\)', 1)) AS b FROM f WHERE x = 'go')),
+m AS (SELECT path, 'python' AS kind, regexp_extract(s, 'from[ \\t]+([\\w.]+)', 1) AS name FROM pf
+  UNION ALL SELECT path, 'python', unnest(regexp_extract_all(regexp_replace(regexp_extract(s, '(?s)[ \\t]import[ \\t]+(.*)', 1), '#[^\\n]*', '', 'g'), '(\\w+)(?:\\s+as\\s+\\w+)?', 1)) FROM pf
+  UNION ALL SELECT path, 'python', unnest(regexp_extract_all(s, '([\\w.]+)(?:\\s+as\\s+\\w+)?', 1)) FROM pi
+  UNION ALL SELECT path, kind, regexp_extract(s, 'from\\s+[''"]([^''"]+)[''"]$', 1) FROM j
+  UNION ALL SELECT path, kind, unnest(regexp_extract_all(regexp_extract(s, '\\{{([^}}]*)\\}}', 1), '(\\w+)(?:\\s+as\\s+\\w+)?', 1)) FROM j
+  UNION ALL SELECT path, kind, regexp_extract(s, '^[ \\t]*import\\s+(\\w+)\\s+from', 1) FROM j
+  UNION ALL SELECT path, 'java', unnest([s, string_split(s, '.')[-1]]) FROM java UNION ALL SELECT path, 'go', unnest([s, string_split(s, '/')[-1]]) FROM go)
+SELECT DISTINCT * FROM m WHERE name <> ''""",
+)
+
+
+def _declared(spark: SparkSession, folder: str, python: str, java: str, javascript: str, typescript: str) -> DataFrame:
+    """A small file for each function of the graph that declares something of its name, in the language of its path."""
+    rows = table(spark, folder, "graph_entities").filter("file_path <> '' and name <> '' and lower(type) like '%function'").select("file_path", "name").distinct()
+    language = T.language(F.col("file_path"))
+    forms = {"python": python, "java": java, "javascript": javascript, "typescript": typescript}
+    text = T.first_case([(language == k, F.regexp_replace(F.lit(form), "NAME", F.col("name"))) for k, form in forms.items()], None)
+    return rows.select(F.concat_ws("#", "file_path", "name").alias("path"), text.alias("text"), language.alias("language")).filter("text is not null")
+
+
+_DECLARED = f"d AS (SELECT DISTINCT file_path || '#' || name AS path, name, {_LANG} AS x FROM graph_entities WHERE file_path <> '' AND name <> '' AND lower(type) LIKE '%function')"
+R.add(
+    "s_routes",
+    lambda s, d: S.routes(_declared(s, d, '@router.post("/items/NAME")\nasync def NAME(): ...', '@GetMapping("NAME")\npublic String NAME() {}', "app.delete('/api//NAME', NAME)", "@Put('NAME')\nNAME() {}")),
+    f"""WITH {_DECLARED}
+SELECT path, CASE x WHEN 'py' THEN 'fastapi' WHEN 'java' THEN 'spring' WHEN 'js' THEN 'express' ELSE 'nest' END AS kind, CASE x WHEN 'py' THEN 'post' WHEN 'java' THEN 'get' WHEN 'js' THEN 'delete' ELSE 'put' END AS method,
+  CASE x WHEN 'py' THEN '/items/' WHEN 'js' THEN '/api/' ELSE '/' END || name AS route FROM d WHERE x IN ('py', 'java', 'js', 'ts')""",
+)
+R.add(
+    "s_class_bases",
+    lambda s, d: S.class_bases(_declared(s, d, "class NAME(Base[int], mixins.Loud, metaclass=Meta):", "class NAME<T> extends Base<T> implements A, B {", "class NAME extends Base {", "class NAME implements A, B {")),
+    f"""WITH {_DECLARED}, b AS (SELECT path, name, CASE x WHEN 'py' THEN 'python' ELSE 'extends' END AS kind, unnest(CASE x WHEN 'py' THEN ['Base', 'mixins.Loud'] WHEN 'java' THEN ['Base', 'A', 'B'] WHEN 'js' THEN ['Base'] WHEN 'ts' THEN ['A', 'B'] END) AS base FROM d)
+SELECT path, kind, name, base FROM b""",
 )
-R.add("s_routes", lambda s, d: S.routes(sources(s, d)))
-R.add("s_class_bases", lambda s, d: S.class_bases(sources(s, d)))
 _IGNORE = ["node_modules/", "/dist/", "*.min.js", "docs/**/readme*"]
 R.add(
     "s_ignored",

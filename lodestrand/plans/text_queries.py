@@ -24,6 +24,7 @@ def ents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_RECALL_STOP = ", ".join(f"'{w}'" for w in T.RECALL_STOP_WORDS)
 
 
 def kw(column: str) -> str:
@@ -148,8 +149,8 @@ R.add(
     """WITH f AS (SELECT DISTINCT file_path, lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) AS x, lower(file_path) AS l FROM file_states)
 SELECT file_path, CASE x WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'java' THEN 'java' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'md' THEN 'markdown' END AS language,
   CASE WHEN x = 'md' THEN 'text/document' WHEN x IN ('py', 'js', 'ts', 'java', 'go', 'rs') THEN 'text/code' ELSE 'application/octet-stream' END AS kind,
-  CASE WHEN regexp_matches(l, '(^|/)(tests?|spec)/|(^|/)test_|_test\\.|\\.spec\\.') THEN 'test' WHEN regexp_matches(l, '\\.(ya?ml|json|toml|ini|cfg|conf)$|(^|/)dockerfile$') THEN 'config' WHEN regexp_matches(l, '\\.(md|rst|txt)$|(^|/)docs?/') THEN 'documentation'
-    WHEN regexp_matches(l, '(^|/)(main|index|app|server|__init__)\\.[a-z]+$') THEN 'entry' WHEN regexp_matches(l, '\\.[a-z]{1,4}$') THEN 'source' ELSE 'other' END AS importance FROM f""",
+  CASE WHEN regexp_matches(file_path, '(?i)(config|settings|\\.env|\\.yaml|\\.yml|\\.toml|\\.json|Makefile|Dockerfile|docker-compose)') THEN 'config' WHEN regexp_matches(file_path, '(?i)(main\\.|index\\.|app\\.|server\\.|__main__|manage\\.py|wsgi|asgi)') THEN 'entry_point'
+    WHEN regexp_matches(file_path, '(?i)(test_|_test\\.|\\.test\\.|spec\\.|\\.spec\\.)') THEN 'test' END AS importance FROM f""",
 )
 R.add(
     "x_complexity",
@@ -159,8 +160,8 @@ R.add(
 R.add(
     "x_query_tokens",
     lambda s, d: table(s, d, "eval_items").select("item_id", F.array_join(T.query_tokens(F.col("text")), " ").alias("tokens"), T.token_overlap(F.col("text"), F.array(F.lit("edge"), F.lit("node"), F.lit("survive"))).alias("overlap")),
-    f"""WITH w AS (SELECT item_id, text, regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}') AS w FROM eval_items), u AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w),
-d AS (SELECT item_id, w, min(i) AS i FROM u WHERE w NOT IN ({_STOP}) GROUP BY ALL), l AS (SELECT item_id, string_agg(w, ' ' ORDER BY i) AS tokens FROM d GROUP BY item_id)
+    f"""WITH w AS (SELECT item_id, text, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]{{3,}}'), lambda x: lower(x)) AS w FROM eval_items), u AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w),
+d AS (SELECT item_id, w, min(i) AS i FROM u WHERE w NOT IN ({_RECALL_STOP}) GROUP BY ALL), l AS (SELECT item_id, string_agg(w, ' ' ORDER BY i) AS tokens FROM d GROUP BY item_id)
 SELECT e.item_id, coalesce(tokens, '') AS tokens, CAST(contains(lower(text), 'edge') AS INTEGER) + CAST(contains(lower(text), 'node') AS INTEGER) + CAST(contains(lower(text), 'survive') AS INTEGER) AS overlap FROM eval_items e LEFT JOIN l ON l.item_id = e.item_id""",
 )
 R.add("x_fts_text", lambda s, d: docs(s, d).select("doc_id", T.fts_text(F.col("text")).alias("text")), "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM documents")
@@ -178,7 +179,7 @@ SELECT subject, v AS variant FROM d QUALIFY row_number() OVER (PARTITION BY subj
 R.add("x_name_from_id", lambda s, d: ents(s, d).select("id", T.name_from_id(F.col("id")).alias("name")).distinct(), "SELECT DISTINCT id, CASE WHEN len(string_split(id, '::')) >= 4 THEN string_split(id, '::')[-1] ELSE id END AS name FROM graph_entities")
 R.add("x_project_id", lambda s, d: docs(s, d).select("source", T.project_id(F.col("source")).alias("project")).distinct(), "SELECT DISTINCT source, CASE WHEN regexp_matches(source, '^[A-Za-z0-9_-]{1,64}$') THEN lower(source) END AS project FROM documents")
 R.add("x_overview_query", lambda s, d: table(s, d, "eval_items").select("item_id", T.overview_query(F.col("text")).alias("overview")),
-      "SELECT item_id, regexp_matches(lower(text), '\\b(readme|overview|architecture|getting[.\\-_\\s]?started)\\b|\\b(what\\s+(does|is)|how\\s+(does|to|do)|purpose|intro(duction)?)\\b|\\b(documentation|docs|guide|tutorial|manual)\\b') AS overview FROM eval_items")
+      "SELECT item_id, regexp_matches(lower(text), '\\b(readme|overview|architecture|getting[.\\-_\\s]?started)\\b|\\b(what\\s+(does|is)|how\\s+(does|to|do)|purpose|intro(duction)?)\\b|\\b(documentation|docs|guide|tutorial|manual)\\b|\\b(project\\s+structure|codebase|explain|describe)\\b') AS overview FROM eval_items")
 R.add("x_route_path", lambda s, d: ents(s, d).select("file_path", "name", T.route_path(F.col("file_path"), F.col("name")).alias("path")).distinct(),
       "WITH j AS (SELECT DISTINCT file_path, name, regexp_replace('/' || coalesce(file_path, '') || '/' || coalesce(name, ''), '/+', '/', 'g') AS j FROM graph_entities) SELECT file_path, name, CASE WHEN j = '/' THEN j ELSE regexp_replace(j, '/$', '') END AS path FROM j")
 R.add("x_session_header", lambda s, d: docs(s, d).filter("text is not null").select("doc_id", T.session_header(F.col("text")).alias("header")),
@@ -195,14 +196,29 @@ R.add(
     "x_line_windows",
     lambda s, d: chunks(s, d, "content").select("id", F.explode(C.line_windows(F.col("content"), 20, 5)).alias("w")).select("id", "w.line_start", "w.line_end", "w.content"),
     f"""WITH {NOW}, l AS (SELECT id, string_split(content, chr(10)) AS l FROM now), s AS (SELECT id, l, unnest(range(1, greatest(1, len(l) - 5) + 1, 15)) AS s FROM l)
-SELECT id, CAST(s AS INTEGER) AS line_start, CAST(least(len(l), s + 19) AS INTEGER) AS line_end, array_to_string(l[s:s + 19], chr(10)) AS content FROM s""",
+SELECT id, CAST(s AS INTEGER) AS line_start, CAST(least(len(l), s + 19) AS INTEGER) AS line_end, array_to_string(l[s:s + 19], chr(10)) AS content FROM s WHERE regexp_matches(array_to_string(l[s:s + 19], chr(10)), '[^\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]')""",
 )
+_END = "length(regexp_extract(substring(text, pos + 156 + 1, 100), '(?s)^(?:.*?{})+'))"
+_W = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]"
+_ENDS = [_END.replace("{}", p) for p in ("\\n\\n", "\\." + _W + "+", "\\n", _W + "+")]
 R.add(
     "x_token_windows",
-    lambda s, d: docs(s, d).filter("text is not null").select("doc_id", F.posexplode(C.token_windows(F.col("text"), 64, 8)).alias("n", "piece")),
-    """WITH s AS (SELECT doc_id, text, unnest(range(1, greatest(1, length(text) - 32) + 1, 224)) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST((s - 1) / 224 AS INTEGER) AS n, substring(text, s, 256) AS piece FROM s""",
+    lambda s, d: docs(s, d).filter("text is not null").select("doc_id", F.explode(C.token_windows(F.col("text"), 64, 8)).alias("piece")).groupBy("doc_id", "piece").agg(F.count("*").alias("n")),
+    f"""WITH RECURSIVE p AS (
+  SELECT doc_id, text, 0 AS pos, false AS done, NULL::VARCHAR AS piece FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, text, CASE WHEN pos + 256 >= length(text) THEN length(text) + 1 ELSE greatest(pos + 1, stop - 32) END, pos + 256 >= length(text), substring(text, pos + 1, stop - pos)
+  FROM (SELECT *, CASE WHEN pos + 256 >= length(text) THEN length(text) ELSE pos + 156 + CASE {' '.join(f'WHEN {e} > 0 THEN {e}' for e in _ENDS)} ELSE 100 END END AS stop FROM p WHERE NOT done AND pos < length(text)))
+SELECT doc_id, piece, count(*) AS n FROM p WHERE piece IS NOT NULL AND regexp_matches(piece, '[^\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]') GROUP BY ALL""",
 )
 R.add("w_packed", lambda s, d: docs(s, d).filter("text is not null").select("doc_id", F.posexplode(C.merged_small(C.paragraphs(F.col("text"), 400), 80)).alias("n", "piece")))
-R.add("x_hashed_vector", lambda s, d: table(s, d, "subject_areas").select("subject", C.hashed_vector(F.col("description")).alias("vector")))
+R.add(
+    "x_hashed_vector",
+    lambda s, d: table(s, d, "subject_areas").select("subject", F.posexplode(C.hashed_vector(F.col("description"))).alias("cell", "value")).select("subject", "cell", F.round("value", 6).alias("value")),
+    """WITH g AS (SELECT subject, sha256(substring(description, CAST(i AS INTEGER), 3)) AS h FROM (SELECT subject, description, unnest(range(1, length(description) - 1)) AS i FROM subject_areas)),
+v AS (SELECT subject, ('0x' || h[1:8])::BIGINT % 128 AS cell, sum((('0x' || h[9:10])::BIGINT - 128) / 128) AS v FROM g GROUP BY ALL),
+n AS (SELECT subject, sqrt(sum(v * v)) AS n FROM v GROUP BY subject)
+SELECT s.subject, CAST(c.cell AS INTEGER) AS cell, round(coalesce(v / nullif(n, 0), 0), 6) AS value FROM subject_areas s CROSS JOIN (SELECT unnest(range(128)) AS cell) c LEFT JOIN v ON v.subject = s.subject AND v.cell = c.cell LEFT JOIN n ON n.subject = s.subject""",
+)
 
 QUERIES, ORACLES = R.queries, R.oracles

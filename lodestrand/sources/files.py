@@ -130,12 +130,31 @@ def queried_objects(files: DataFrame) -> DataFrame:
 
 
 def imported_names(files: DataFrame) -> DataFrame:
-    """Modules that source files import: path, kind (language), name."""
-    forms = {
-        "python": r"(?m)^\s*(?:from\s+([\w.]+)\s+import\b)", "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)", "javascript": r"(?m)^\s*import\s[^'\"]*['\"]([^'\"]+)['\"]",
-        "typescript": r"(?m)^\s*import\s[^'\"]*['\"]([^'\"]+)['\"]", "go": r"(?m)^\s*import\s+\"([^\"]+)\"", "rust": r"(?m)^\s*use\s+([\w:]+)",
-    }
-    return union_all([_found(files.filter(F.col("language") == k), p, {"name": 1}, k) for k, p in forms.items()]).distinct()
+    """What source files import: path, kind (language), name. Python: the module and each name of a from-import (also in brackets),
+    each module of an import. Java: the full name and its last part. JavaScript and TypeScript: the module, the names in braces and
+    the default. Go: the path, also in a block, and its last part. Aliases don't count, nor do other languages."""
+    name_of = r"([\w.]+)(?:\s+as\s+\w+)?"
+
+    def names(text: Column, pattern: str) -> Column:
+        return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.array().cast("array<string>"))
+
+    def last(full: Column, sign: str) -> Column:
+        return F.array(full, F.element_at(F.split(full, sign), -1))
+
+    def each(language: str, pattern: str, groups: dict[str, int], parts) -> DataFrame:
+        rows = _found(files.filter(F.col("language") == language), pattern, groups, language)
+        return rows.select("path", "kind", F.explode(parts(*(F.col(g) for g in groups))).alias("name"))
+
+    rows = [
+        each("python", r"(?m)^[ \t]*from[ \t]+([\w.]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n;#]+)", {"module": 1, "rest": 2}, lambda m, r: F.concat(F.array(m), names(F.regexp_replace(r, r"#[^\n]*", ""), r"(\w+)(?:\s+as\s+\w+)?"))),
+        each("python", r"(?m)^[ \t]*import[ \t]+([^\n;#]+)", {"rest": 1}, lambda r: names(r, name_of)),
+        each("java", r"(?m)^[ \t]*import\s+(?:static\s+)?([\w.]+)", {"full": 1}, lambda f: last(f, r"\.")),
+        each("go", r"(?m)^[ \t]*import\s+(?:[\w.]+\s+)?\"([^\"]+)\"", {"full": 1}, lambda f: last(f, "/")),
+        each("go", r"(?m)^[ \t]*import\s*\(([^)]*)\)", {"block": 1}, lambda b: F.flatten(F.transform(names(b, r"\"([^\"]+)\""), lambda f: last(f, "/")))),
+    ]
+    for language in ("javascript", "typescript"):
+        rows.append(each(language, r"(?m)^[ \t]*import\s+([^;'\"]*?)\s*from\s+['\"]([^'\"]+)['\"]", {"what": 1, "module": 2}, lambda w, m: F.concat(F.array(m), names(F.regexp_extract(w, r"\{([^}]*)\}", 1), r"(\w+)(?:\s+as\s+\w+)?"), names(w, r"^(\w+)$"))))
+    return union_all(rows).filter("name <> ''").distinct()
 
 
 def class_bases(files: DataFrame) -> DataFrame:

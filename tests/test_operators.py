@@ -35,9 +35,11 @@ def test_text_functions(spark):
 
 def test_chunking(spark):
     x = F.col("x")
-    assert values(spark, F.transform(C.line_windows(x, 2, 1), lambda w: w["content"]), "a\nb\nc", "") == [["a\nb", "b\nc"], [""]]
+    assert values(spark, F.transform(C.line_windows(x, 2, 1), lambda w: w["content"]), "a\nb\nc", "") == [["a\nb", "b\nc"], []]
     assert values(spark, C.paragraphs(x, 8), "aaa\n\nbbb\r\n\r\ncccc\n \n", "") == [["aaa\n\nbbb", "cccc"], []]
-    assert values(spark, C.merged_small(F.split(x, ","), 3), "aaaa,b,cccc,d", "a") == [["aaaa\nb", "cccc\nd"], ["a"]]
+    assert values(spark, C.merged_small(F.split(x, ","), 3), "aaaa,b,,cccc,d", "a", "aaaaaaa,bbb", " ") == [["aaaa", "b\n\ncccc", "d"], ["a"], ["aaaaaaa", "bbb"], []]
+    assert values(spark, C.token_windows(x, 4, 1), "one two three four five", "x" * 20, " \n", "") == [["one two three ", "ree four five"], ["x" * 16, "x" * 8], [], []]
+    assert values(spark, C.boundary(x), "a b. c\n\nd e", "a b.  c d", "a\nb c", "ab", "\n\n\n") == [8, 6, 2, 0, 2]
     assert values(spark, F.size(C.hashed_vector(x, 16)), "", "hello") == [16, 16]
 
 
@@ -71,7 +73,7 @@ def test_graph_faults(spark):
     assert G.reach(edges.filter("false"), seeds, 2).count() == 2 and G.cycles(edges.filter("false")).count() == 0
     e = spark.createDataFrame([("a", "A", "class", "f"), ("a", "A", "class", "f"), ("b", "B", "class", "f")], "id string, name string, type string, file_path string")
     assert {(x.source_id, x.target_id, x.missing) for x in G.broken_links(r, e).collect()} == {("b", "c", "target"), ("c", "a", "source"), ("d", "d", "both")}
-    refs = spark.createDataFrame([("1", "A", "f"), ("2", "none", "f"), ("3", None, None)], "ref_id string, name string, file_path string")
+    refs = spark.createDataFrame([("1", "A", "class", None, "f"), ("2", "none", None, None, "f"), ("3", None, None, None, None)], "ref_id string, name string, type string, import_path string, file_path string")
     assert {(x.ref_id, x.entity_id) for x in G.resolve_references(refs, e).collect()} == {("1", "a"), ("2", None), ("3", None)}
     assert [x.tier for x in G.resolve_entity(e, "a").collect()] == [2]
 
@@ -96,14 +98,126 @@ def test_status_is_filtered_before_the_limit(spark):
 
 
 def test_metadata_and_precision(spark):
-    rows = [(1, "open locks", [1.0], 0.5, None, 0, None, "working", None, "p", '{"lang": "go"}'), (2, "other", [1.0], 0.5, None, 0, None, "working", None, None, None)]
+    rows = [(1, "open locks", [1.0], 0.5, None, 0, None, "working", None, "the locks of p", '{"tags": ["Go", "locks"], "type": "note", "other": 1}'), (2, "other", [1.0], 0.5, None, 0, None, "working", None, None, None)]
     items = spark.createDataFrame(rows, "id long, content string, vector array<float>, importance double, confidence double, access_count int, created_at timestamp, tier string, status string, subject string, metadata string")
     now, query, words = F.lit("2024-01-01").cast("timestamp"), F.array(F.lit(1.0)), F.array(F.lit("locks"))
-    got = M.retrieve(items, query, now, "metadata", wanted={"lang": "Go"}).collect()
-    assert [(r.id, round(r.score, 6)) for r in got] == [(1, 1.0), (2, 0.7)]
-    got = M.retrieve(items, query, now, "precision", words=words, wanted={"lang": "go"}, subject="P").collect()
-    assert [(r.id, round(r.score, 6)) for r in got] == [(1, 1.0), (2, 0.5)]
-    assert items.limit(1).select(M.relation(F.lit(0.8), F.lit(0.1), F.lit(0.0))).collect()[0][0] == "alike"
+    got = M.retrieve(items, query, now, "metadata", text="Locks in go").collect()
+    assert [(r.id, round(r.score, 6)) for r in got] == [(1, 0.9), (2, 0.8)]  # one of two fields
+    got = M.retrieve(items, query, now, "precision", words=words, text="LOCKS").collect()
+    assert [(r.id, round(r.score, 6)) for r in got] == [(1, 0.95), (2, 0.5)]  # 0.5 + 0.3 / 2 + 0.2 / 2 + 0.2
+    both = spark.createDataFrame([(7, [1.0]), (8, [-1.0])], "query_id long, query array<double>")
+    got = M.retrieve_all(items, both, now, "precision", words=words, text="LOCKS").collect()
+    assert {(r.query_id, r.id): round(r.score, 6) for r in got} == {(7, 1): 0.95, (7, 2): 0.5, (8, 1): -0.05, (8, 2): -0.5}
+    told = lambda *a: items.limit(1).select(M.relation("locks", F.lit(a[0]), F.lit(a[1]), *(F.lit(x) for x in a[2:]))).collect()[0][0]
+    cases = [("Locks", "", 0.0, 0.0, 0.0), ("all locks", "", 0.0, 0.0, 0.0), (None, "the locks", 0.0, 0.8, 0.0), (None, "the locks", 0.0, 0.1, 0.0), (None, "x", 0.9, 0.1, 0.0), (None, "x", 0.9, 0.6, 0.0), (None, "x", 0.1, 0.1, 0.6), (None, "x", 0.1, 0.1, 0.1)]
+    assert [told(*c) for c in cases] == ["exact_match", "partial_match", "keyword_match", "contains_query", "semantically_similar", "keyword_related", "metadata_related", "related_to"]
+    found, clear = M.ambiguity_aware(items, query, now, words=words, text="LOCKS")
+    assert found.count() == 2 and not clear.collect()[0].ambiguous
+
+
+def test_memory_upkeep(spark):
+    rows = [(i, "a" if i < 4 else "b", "s", f"t{i}", "episodic", F_time(i), 0.8) for i in range(6)]
+    items = spark.createDataFrame(rows, "id long, agent_id string, session_id string, content string, tier string, created_at string, importance double").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    got = M.conversation(items, items.select("session_id"), 3).orderBy("position").collect()
+    assert [(r.id, r.tier, r.position) for r in got] == [(3, "working", 1), (4, "working", 2), (5, "working", 3)]
+    assert M.cleared(items, "a").count() == 2 and M.cleared(items, "a", "semantic").count() == 6
+    new = spark.createDataFrame([(5, "b", "x" * 200, 0.95), (9, "b", "y", 0.1)], "id long, agent_id string, content string, importance double")
+    got = {r.id: (r.tier, r.content[:1]) for r in M.stored(items, new).collect()}
+    assert len(got) == 7 and got[5] == ("semantic", "x") and got[9] == ("working", "y") and got[0] == ("episodic", "t")
+    told = spark.createDataFrame([("f1", "a", "s", "good", "text", None), ("f2", "a", "s", None, "text", None)], "id string, agent_id string, session_id string, kind string, content string, created_at timestamp")
+    assert {(r.subject, r.importance, r.tier) for r in M.feedback_items(told).collect()} == {("feedback:good", 0.7, "episodic"), ("feedback:general", 0.7, "episodic")}
+    assert {(r.kind, r.n) for r in M.feedback_counts(told).collect()} == {("good", 1), ("general", 1)}
+    assert {r.id for r in M.within_capacity(items, 1, ["agent_id"], "created_at").collect()} == {3, 5}
+    assert {r.id for r in M.live_contexts(items, F.lit("2024-01-06").cast("timestamp"), 86_400.0, "created_at").collect()} == {4, 5}
+
+
+def F_time(day):
+    return f"2024-01-0{day + 1} 00:00:00"
+
+
+def test_promotion_and_concepts_by_hand(spark):
+    rows = [(1, "working", 0.95, 5, "The parser, the Parser! breaks"), (2, "working", 0.8, 20, "a parser's (queue)"), (3, "episodic", 0.1, 1, "queue queue")]
+    items = spark.createDataFrame(rows, "id long, tier string, importance double, access_count int, content string").withColumn("confidence", F.lit(None).cast("double"))
+    got = {r.id: (r.tier, r.confidence and round(r.confidence, 6)) for r in M.promote(items).collect()}
+    assert got == {1: ("semantic", 0.815), 2: ("semantic", 0.86), 3: ("episodic", None)}  # 0.7 i + 0.3 min(a / 10, 1)
+    got = {r.word: (r.times, r["items"], round(r.importance, 6), round(r.confidence, 6)) for r in M.concepts(items).collect()}
+    assert got == {"parser": (2, 2, 0.9625, 0.666667), "queue": (3, 2, 0.495, 0.666667)}  # parser's is another word, but holds this one
+
+
+def test_content_boost_by_hand(spark):
+    rows = [("a", "stale shard", "f", 0.4), ("b", "shard", "f", 0.8), ("c", "nothing", "stale/x.py", 0.2), ("d", None, None, 0.1)]
+    df = spark.createDataFrame(rows, "id string, content string, file_path string, score double")
+    assert S.query_words("how does the HTTPServer_stale-shard x") == ["http", "server", "stale", "shard"]
+    # stale and shard are each in half of the rows, so each weighs 2: shares 1, 1/2, 1/2, 0 and factors 1.5, 1.25, 1.25, 1
+    raised = {"a": 0.8 * 1.5, "b": 0.8 * 1.25, "c": 0.8 * 1.25, "d": 0.1}
+    got = {r.id: r.score for r in S.boost_content(df, "stale shard").collect()}
+    assert all(abs(got[k] - v / 1.2) < 1e-9 for k, v in raised.items())
+
+
+def test_searches_for_many_vectors_match_single_ones(spark):
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(300, 8)).round(1)
+    rows = [(i, [float(v) for v in r], f"text {i % 7} stale", f"f{i % 40}") for i, r in enumerate(x)] + [(300, None, "stale", "g"), (301, [0.0] * 8, "stale", "g"), (302, [1.0], None, None)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, content string, file_path string").repartition(5)
+    wanted = df.filter("id < 4").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    for mode in ("clamp", "half"):
+        got = {(r.query_id, r.id): round(r.score, 6) for r in S.vector_search_all(df, wanted, 7, mode=mode).collect()}
+        want = {(q, r.id): round(r.score, 6) for q in range(4) for r in S.vector_search(df, rows[q][1], 7, mode=mode).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    every = {(r.query_id, r.id, r.position): round(r.score, 6) for r in S.hybrid_search(df, "text 3 stale", wanted, 5).collect()}
+    alone = {(q, r.id, r.position): round(r.score, 6) for q in range(4) for r in S.hybrid_search(df, "text 3 stale", rows[q][1], 5).collect()}
+    assert every.keys() == alone.keys() and all(abs(every[k] - alone[k]) < 2e-6 for k in alone)
+    assert S.vector_search_all(df, wanted.filter("false")).count() == 0 and S.vector_search_all(df.filter("false"), wanted).count() == 0
+
+
+def test_resolution_strategies_by_hand(spark):
+    e = spark.createDataFrame([("1", "Lock", "class", "src/core/lock.py"), ("2", "Lock", "class", "lib/other.py"), ("3", "run", "function", "src/core/run.py"), ("4", "walk", "function", "a/b/c.py")], "id string, name string, type string, file_path string")
+    often = spark.createDataFrame([("Lock", 10)], "name string, n long")
+    rows = [("imported", "Lock", None, "core.lock", "x.py"), ("typed", "Lock", "Class", None, "x.py"), ("only", "run", "function", None, "x.py"), ("near", "Lock", None, None, "src/core/user.py"), ("far", "walk", None, None, "x/y/z.py"), ("known", "walk", None, None, "q.py"), ("gone", "no", "class", "a.b", "x.py")]
+    refs = spark.createDataFrame(rows, "ref_id string, name string, type string, import_path string, file_path string")
+    known = spark.createDataFrame([("walk", "q.py", "4", 0.7)], "name string, file_path string, entity_id string, score double")
+    got = {r.ref_id: (r.entity_id, r.strategy, r.score and round(r.score, 4)) for r in G.resolve_references(refs, e, often, known).collect()}
+    # near: 0.4 * 0.8 + 0.25 * 1 + 0.05 * 10 / 50; far: too little
+    assert got == {"imported": ("1", "import_path", 0.95), "typed": ("1", "exact_match", 0.8), "only": ("3", "exact_match", 1.0), "near": ("1", "proximity", 0.58), "far": (None, None, None), "known": ("4", "database", 0.7), "gone": (None, None, None)}
+    one = lambda c: e.limit(1).select(c).collect()[0][0]
+    assert [one(G.path_proximity(F.lit("a/b/c.py"), F.lit(p))) for p in ("a/b/c.py", "a/b/d.py", "a/d.py", "x/y/z.py", "q/r/s/t/u/v.py")] == [1.0, 0.8, 0.7, 0.4, 0.3]
+    assert [one(G.naming_score(F.lit(s), F.lit(p))) for s, p in (("LoadRows", "x/load_rows.py"), ("rows", "x/loadRows.py"), ("loadRows", "rows.py"), ("a", "b.py"))] == [100.0, 60.0, 40.0, 0.0]
+    assert [one(G.folder_score(F.lit("rows"), F.lit(p))) for p in ("a/rows/x.py", "rows/q/x.py", "q/all_rows/x.py", "x.py")] == [35.0, 25.0, 15.0, 0.0]
+
+
+def test_likeness_by_matching_blocks(spark):
+    from difflib import SequenceMatcher
+
+    names = ["mergeSlotQuery", "mergeSlotQuerys", "mergeSlotQuer", "slotMergeQuery", "merge", "", "MERGESLOTQUERY2", "mergeQuerySlot", "xergeSlotQuery"]
+    e = spark.createDataFrame([(str(i), n, "function", "f") for i, n in enumerate(names)], "id string, name string, type string, file_path string")
+    ratio = lambda n: SequenceMatcher(None, "mergeslotquery", n.lower()).ratio()
+    got = {r.name for r in G.resolve_entity(e, "mergeSlotQuery").collect() if r.tier == 5}
+    holding = {n for n in names if "mergeslotquery" in n.lower()}
+    assert got == {n for n in names if ratio(n) >= 0.8} - holding and len(got) > 1
+    assert [r.name for r in G.suggestions(e, "mergeSlotQuery", 4).collect()] == sorted((n for n in names if n), key=lambda n: (-ratio(n), n))[:4]
+
+
+def test_cycles_match_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    links = {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(24)}
+    want, out = set(), {}
+    for a, b in links:
+        out.setdefault(a, set()).add(b)
+
+    def walk(path):
+        for b in out.get(path[-1], ()):
+            if b == path[0] and 1 < len(path) <= 6:
+                want.add(" > ".join(path))
+            elif b > path[0] and b not in path and len(path) < 6:
+                walk([*path, b])
+
+    for a in out:
+        walk([a])
+    edges = spark.createDataFrame([(a, b, "calls") for a, b in links], "source_id string, target_id string, type string")
+    assert {r.path for r in G.cycles(edges, 6).collect()} == want and len(want) > 5
 
 
 def test_aggregates_with_nulls(spark):

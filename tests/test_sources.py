@@ -48,7 +48,11 @@ def test_recognizers(spark):
     assert {(r.path, r.kind, r.method, r.route) for r in S.routes(df).collect()} == {("A.java", "spring", "get", "/orders"), ("A.java", "spring", "any", "/x"), ("a.py", "fastapi", "post", "/pay"), ("a.ts", "nest", "get", "/list"), ("a.ts", "express", "get", "/z")}
     assert {(r.kind, r.name) for r in S.injections(df).collect()} == {("bean", "Orders"), ("field", "Store")}
     assert [r.name for r in S.queried_objects(df).collect()] == ["Account"]
-    assert {(r.path, r.name) for r in S.imported_names(df).collect()} == {("A.java", "java.util.List"), ("a.py", "shop.cart"), ("a.ts", "./y")}
+    assert {(r.path, r.name) for r in S.imported_names(df).collect()} == {("A.java", "java.util.List"), ("A.java", "List"), ("a.py", "shop.cart"), ("a.py", "add"), ("a.ts", "./y"), ("a.ts", "x")}
+    more = [("b.py", "python", "import os.path as p, sys\nfrom a import (\n  b as c,  # why\n  d,\n)\nx = 1"), ("b.js", "javascript", "import main, { one as two,\n three } from \"./m\";\nimport only from 'only';\nimport './side';"), ("b.go", "go", 'import (\n\t"fmt"\n\tx "net/http"\n)\nimport "a/b"')]
+    got = {(r.path, r.name) for r in S.imported_names(spark.createDataFrame(more, "path string, language string, text string")).collect()}
+    want = {"b.py": "os.path sys a b d", "b.js": "./m one three ./only".replace("./only", "only"), "b.go": "fmt net/http http a/b b"}
+    assert got == {(p, n) for p, names in want.items() for n in names.split()}
     assert {(r.name, r.base) for r in S.class_bases(df).collect()} == {("Orders", "Base"), ("Cart", "Base")}
     assert plugins.recognize(df, ["routes", "injections"]).count() == 7
 

@@ -38,9 +38,34 @@ def test_elements_and_groups(spark):
 
 def test_prompts(spark):
     df = spark.createDataFrame([("pytest -q", "how does src/a.py work?", '{"lang": "Go", "x": 1}'), ("git log", "hi", "broken")], "c string, p string, m string")
-    r = df.select(P.command_kind(F.col("c")), P.prompt_tier(F.col("p")), P.json_fields(F.col("m"), ["lang", "y"]), P.metadata_score(F.col("m"), {"lang": "go", "y": "1"}), P.indexing_priority(F.lit("README.md"))).collect()
-    assert [tuple(x) for x in r] == [("test", "full", {"lang": "Go"}, 0.5, 0), ("git", "none", {}, 0.0, 0)]
-    assert P.budget_shares(100, "code") == {"code": 50, "docs": 15, "memory": 15, "graph": 20}
+    r = df.select(P.command_kind(F.col("c")), P.json_fields(F.col("m"), ["lang", "y"])).collect()
+    assert [tuple(x) for x in r] == [("test", {"lang": "Go"}), ("general", {})]
+    assert P.budget_shares(10_001, "code") == {"code": 7000, "docs": 3000} and P.budget_shares(10, "balanced") == {"code": 5, "docs": 5}
+    first = ["README.md", "a/b/Readme", "x/setup.py", "cli.py", "API/x.py", "src/x.py", "x/api/y.py", "src.py", ""]
+    paths = spark.createDataFrame([(i, p) for i, p in enumerate(first)], "i int, p string").orderBy("i")
+    assert [(r[0], r[1]) for r in paths.select(P.indexing_priority(F.col("p")), P.fast_path(F.col("p"))).collect()] == [(1, True), (1, False), (2, True), (3, True), (4, True), (5, True), (100, False), (100, False), (100, False)]
+    values = spark.createDataFrame([('{"tags": ["Go", "x"], "type": null, "domain": "db"}',), ('{"subject": "nothing"}',), ('{"other": 1}',), ("broken",), (None,), ('{"type": ""}',)], "m string")
+    assert [round(r[0], 6) for r in values.select(P.metadata_score(F.col("m"), F.lit("a GO question on db"))).collect()] == [0.666667, 0.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_prompt_signals_by_hand(spark):
+    told = [
+        ("Fix the parseRows function in src/core/lock.py, it is urgent", 55, "RELATED_LINKS", "CODE", ["src/core/lock.py"]),  # 25 + 20 + 10: lower camel case is no entity
+        ("Implement LockManager as we decided earlier in lock.py", 90, "FULL_PACKET", "CODE", ["lock.py"]),  # 30 + 25 + 20 + 15
+        ("The ERROR_CODE of the crash", 30, "MEMORY_ONLY", "DEBUG", []),  # 30, and nothing for debugging
+        ("hello there", 0, "NONE", "GENERAL", []),
+        ("<note>urgent src/a.py</note>hello<br/>", 0, "NONE", "GENERAL", []),
+        (None, 0, "NONE", "GENERAL", []),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(told)], "i int, p string").orderBy("i")
+    got = [r[0] for r in df.select(P.prompt_signals(F.col("p"))).collect()]
+    assert [(g.score, g.tier, g.intent, g.file_paths) for g in got] == [r[1:] for r in told]
+    assert got[0].entities == [] and got[1].entities == ["LockManager"] and got[2].entities == ["ERROR_CODE"]
+    one = df.limit(1)
+    assert one.select(P.prompt_signals(F.lit("hello"), F.lit(True))).collect()[0][0].score == 15
+    assert one.select(P.pivoted(F.array(F.lit("a")), F.array(F.lit("b"))), P.pivoted(F.array(F.lit("a")), F.array(F.lit("a"))), P.pivoted(F.array(F.lit("a")), F.array().cast("array<string>"))).collect()[0] == (True, False, False)
+    kinds = spark.createDataFrame([("pytest -q", 0), ("npm run build", 1), ("npm run build", 0), ("git commit", 0), ("git log", 1), ("kubectl get", None)], "c string, x int")
+    assert [tuple(r) for r in kinds.select(P.command_kind(F.col("c")), P.command_captured(F.col("c"), F.col("x"))).collect()] == [("test", True), ("build", True), ("build", False), ("git", True), ("general", False), ("deploy", True)]
 
 
 def test_retrieval(spark):
