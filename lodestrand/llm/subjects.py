@@ -7,9 +7,10 @@ labelled documents, each spread over its labels; expectation spreads every docum
 by squared evidence (labels act as a prior, so wrong ones fade), maximization counts again over the whole corpus.
 Words are hashed into a fixed number of buckets, so the model has one size whatever the corpus.
 
-Posteriors are independent: each subject's follows from its share of the document's evidence by a logistic curve
-fitted on labelled documents. As label sets are incomplete, the curve has an upper limit below one (the chance that
-a true subject was labelled), which is divided out.
+Posteriors are independent: each subject's follows from its share of the document's evidence by a logistic curve of its
+own, fitted on labelled documents. The curves share their slope and their upper limit; the middle of each is fitted to its
+subject's labels and drawn to the middle of all, the more the fewer labels there are. As label sets are incomplete, the limit
+is below one (the chance that a true subject was labelled) and divided out.
 """
 
 from __future__ import annotations
@@ -132,21 +133,48 @@ def _sharer(model, subjects: int):
     return share
 
 
+#: The curve (limit, slope, middle) where fewer than LABELS second subjects are labelled, which is too few to fit any, and how far
+#: (standard deviation) a subject's middle is expected from that of all.
+BEFORE, LABELS, SPREAD = (0.6, 8.0, float(np.log(0.25 / 0.75))), 8, 0.2
+_MIDDLES = np.arange(-3.0, 0.6, 0.1)
+
+
+def _curve(x: np.ndarray, limit: float, slope: float, middle: float) -> np.ndarray:
+    return limit / (1 + np.exp(-slope * (x - middle)))
+
+
+def _logit(share: np.ndarray) -> np.ndarray:
+    held = np.clip(share, 1e-3, 0.999)
+    return np.log(held / (1 - held))
+
+
+def _likelihood(x: np.ndarray, labelled: np.ndarray, weight: np.ndarray, limit: float, slope: float, middle: float) -> float:
+    p = np.clip(_curve(x, limit, slope, middle), 1e-4, 1 - 1e-4)
+    return float((weight * (labelled * np.log(p) + (1 - labelled) * np.log(1 - p))).sum())
+
+
 def fit_curve(share: np.ndarray, labelled: np.ndarray) -> tuple[float, float, float]:
-    """(limit, slope, middle) of limit / (1 + exp(-slope (logit share - middle))), fitted by maximum likelihood over a
-    grid; share and labelled belong to subjects that aren't a document's strongest. A default where there are few."""
-    if labelled.sum() < 8 or len(labelled) < 50:
-        return 0.6, 8.0, float(np.log(0.25 / 0.75))
-    x = np.log(np.clip(share, 1e-3, 0.999) / (1 - np.clip(share, 1e-3, 0.999)))
-    best = (-np.inf, 0.0, 0.0, 0.0)
-    for limit in np.arange(0.2, 1.0, 0.05):
-        for slope in (1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0):
-            for middle in np.arange(-3.0, 0.6, 0.1):
-                p = np.clip(limit / (1 + np.exp(-slope * (x - middle))), 1e-4, 1 - 1e-4)
-                score = float(np.where(labelled, np.log(p), np.log(1 - p)).sum())
-                if score > best[0]:
-                    best = (score, float(limit), slope, float(middle))
-    return best[1:]
+    """(limit, slope, middle) of limit / (1 + exp(-slope (logit share - middle))), by maximum likelihood over a grid; share
+    and labelled belong to subjects that aren't a document's strongest."""
+    if labelled.sum() < LABELS:
+        return BEFORE
+    x, weight = _logit(share), np.ones(len(share))
+    grid = ((limit, slope, middle) for limit in np.arange(0.2, 1.0, 0.05) for slope in (1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0) for middle in _MIDDLES)
+    best = max(grid, key=lambda curve: _likelihood(x, labelled.astype(np.float64), weight, *curve))
+    return float(best[0]), best[1], float(best[2])
+
+
+def fit_middles(share: np.ndarray, labelled: np.ndarray, subject: np.ndarray, subjects: int, curve: tuple[float, float, float]) -> np.ndarray:
+    """The middle of each subject's curve: likelihood of its labels with the limit and slope of `curve`, less the squared
+    distance from that curve's middle in units of SPREAD."""
+    limit, slope, middle = curve
+    x, out = _logit(share), np.full(subjects, middle)
+    steps = middle + np.arange(-1.0, 1.01, 0.02)
+    for s in range(subjects):
+        own = subject == s
+        score = [_likelihood(x[own], labelled[own].astype(np.float64), np.ones(own.sum()), limit, slope, m) - ((m - middle) / SPREAD) ** 2 / 2 for m in steps]
+        out[s] = steps[int(np.argmax(score))]
+    return out
 
 
 class SubjectModel:
@@ -181,45 +209,53 @@ class SubjectModel:
             model = spark.sparkContext.broadcast(weights(counts, sizes))
         self.model = model
         self.shared = self.features.mapInArrow(_sharer(model, n), f"doc_id {kind}, shares array<double>, labels array<double>")
-        self.curve = self._calibrate()
+        self.curve, self.middles = self._calibrate()
 
-    def _calibrate(self) -> tuple[float, float, float]:
+    def _calibrate(self) -> tuple[tuple[float, float, float], np.ndarray]:
+        """The curve of all subjects and the middle of each one's own."""
         place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
         share = min(1.0, 1.2 * CALIBRATION_ROWS / max(self.features.filter("labels is not null").count(), 1))
         near = self.shared.filter((place < int(share * (1 << 30))) & F.col("labels").isNotNull())  # few more than wanted reach the task that sorts them
         sample = near.orderBy(place, "doc_id").limit(CALIBRATION_ROWS).select("shares", "labels").toArrow()
-        if not len(sample):
-            return fit_curve(np.zeros(0), np.zeros(0, bool))
-        share, labels = (np.array(sample.column(c).to_pylist()) for c in ("shares", "labels"))
-        rest = share > 0
-        rest[np.arange(len(share)), share.argmax(1)] = False
+        shares_, labels = (np.array(sample.column(c).to_pylist(), np.float64).reshape(-1, len(self.subjects)) for c in ("shares", "labels"))
+        rest = shares_ > 0
+        if len(rest):
+            rest[np.arange(len(shares_)), shares_.argmax(1)] = False
         if self.software is not None:
             rest[:, self.software] = False
-        return fit_curve(share[rest], labels[rest] > 0)
+        curve = fit_curve(shares_[rest], labels[rest] > 0)
+        return curve, fit_middles(shares_[rest], labels[rest] > 0, np.nonzero(rest)[1], len(self.subjects), curve)
+
+    def _judged(self) -> DataFrame:
+        """The documents (doc_id, judged): array of (subject, share, posterior) of the subjects with evidence."""
+        slope = float(self.curve[1])
+        names, middles = (F.array(*(F.lit(v) for v in values)) for values in (self.subjects, [float(m) for m in self.middles]))
+
+        def judge(x):
+            share = F.greatest(F.least(x["share"], F.lit(0.999)), F.lit(1e-6))
+            posterior = 1 / (1 + F.exp(-slope * (F.log(share / (1 - share)) - x["middle"])))
+            return F.struct(x["subject"].alias("subject"), x["share"].alias("share"), posterior.alias("posterior"))
+
+        every = F.arrays_zip(names.alias("subject"), F.col("shares").alias("share"), middles.alias("middle"))
+        return self.shared.select("doc_id", F.transform(F.filter(every, lambda x: x["share"] > 0), judge).alias("judged"))
 
     def posteriors(self) -> DataFrame:
         """doc_id, subject, share, posterior for every subject with evidence; of a document without any, `software` (or
         else no row) with share 0 and posterior 1, as such texts have no other field."""
-        _, slope, middle = self.curve
-        names = F.array(*(F.lit(s) for s in self.subjects))
-        rows = self.shared.select("doc_id", F.explode(F.arrays_zip(names.alias("subject"), F.col("shares").alias("share"))).alias("x")).select("doc_id", "x.subject", "x.share")
-        share = F.greatest(F.least("share", F.lit(0.999)), F.lit(1e-6))
-        some = rows.filter("share > 0").withColumn("posterior", 1 / (1 + F.exp(-slope * (F.log(share / (1 - share)) - middle))))
+        rows = self._judged()
+        some = rows.select("doc_id", F.explode("judged").alias("x")).select("doc_id", "x.subject", "x.share", "x.posterior")
         if self.software is None:
             return some
-        none = self.shared.filter(~F.exists("shares", lambda x: x > 0))
+        none = rows.filter(F.size("judged") == 0)
         return some.unionByName(none.select("doc_id", F.lit(self.subjects[self.software]).alias("subject"), F.lit(0.0).alias("share"), F.lit(1.0).alias("posterior")))
 
     def chosen(self) -> DataFrame:
-        """doc_id, subject: the strongest subject and all others whose posterior is at least one half; `software` only
-        where no other subject is chosen. Documents with null or blank text have no row; a repeated doc_id gives the
-        rows of each of its texts, once."""
-        _, slope, middle = self.curve
-        least = 1 / (1 + np.exp(-middle))  # the share whose posterior is one half
-        names = F.array(*(F.lit(s) for s in self.subjects))
-        top = F.array_max("shares")
-        picked = F.filter(F.arrays_zip(F.col("shares").alias("share"), names.alias("subject")), lambda x: (x["share"] > 0) & ((x["share"] >= least) | (x["share"] == top)))
-        rows = self.shared.select("doc_id", F.transform(picked, lambda x: x["subject"]).alias("names"))
+        """doc_id, subject: the subjects whose posterior is at least one half, or, as every text is about something, the one
+        with the highest where none is; `software` only where no other subject is chosen. Documents with null or blank
+        text have no row; a repeated doc_id gives the rows of each of its texts, once."""
+        top = F.array_max(F.transform("judged", lambda x: x["posterior"]))
+        picked = F.filter("judged", lambda x: (x["posterior"] >= 0.5) | (x["posterior"] == top))
+        rows = self._judged().select("doc_id", F.transform(picked, lambda x: x["subject"]).alias("names"))
         if self.software is not None:
             alone = self.subjects[self.software]
             rows = rows.withColumn("names", F.when(F.size("names") > 1, F.array_remove("names", alone)).when(F.size("names") == 0, F.array(F.lit(alone))).otherwise(F.col("names")))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.llm.subjects import SubjectModel, fit_curve
+from lodestrand.llm.subjects import BEFORE, SubjectModel, fit_curve, fit_middles
 
 SUBJECTS = ["software", "law", "music"]
 JARGON = {"software": ["mutex", "parser", "linker", "cache"], "law": ["tort", "lien", "écrit", "clause"], "music": ["fugue", "chord", "tempo", "sonata"]}
@@ -76,3 +76,16 @@ def test_curve_is_recovered():
     labelled = rng.random(4000) < 0.6 / (1 + np.exp(-6 * (x - np.log(0.25 / 0.75))))
     limit, _, middle = fit_curve(share, labelled)
     assert abs(limit - 0.6) < 0.1 and abs(1 / (1 + np.exp(-middle)) - 0.25) < 0.03
+
+
+def test_curves_without_labels_and_by_subject():
+    assert fit_curve(np.zeros(0), np.zeros(0, bool)) == BEFORE
+    rng = np.random.default_rng(8)
+    share, subject = rng.uniform(0.02, 0.6, 9000), rng.integers(0, 3, 9000)
+    own = np.array([-1.4, -0.8, -1.1])
+    x = np.log(share / (1 - share))
+    labelled = rng.random(9000) < 0.7 / (1 + np.exp(-8 * (x - own[subject])))
+    few = (subject != 2) | (np.arange(9000) < 20)  # hardly any labels of the third: it stays with all
+    curve = fit_curve(share[few], labelled[few])
+    got = fit_middles(share[few], labelled[few], subject[few], 4, curve)
+    assert abs(got[0] - own[0]) < 0.12 and abs(got[1] - own[1]) < 0.12 and abs(got[2] - curve[2]) < 0.2 and abs(got[3] - curve[2]) < 1e-9
