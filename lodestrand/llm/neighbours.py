@@ -2,7 +2,8 @@
 
 Codebooks are full-dimensional: a vector is approximated by a sum of one word from each, found by beam search over the
 residuals; its code is stored. The first words split the vectors into cells: a cell that would hold too many is split by
-the next word of the code, and so on. A query visits the cells whose centres are nearest to it; there, all members are
+the next word of the code, and so on; one that is too full with all words (vectors closer than the books can tell) is
+searched in portions of its members. A query visits the cells whose centres are nearest to it; there, all members are
 compared exactly, whatever the cell's size. (At these widths a matrix product costs less than scoring by table lookup, and
 quantisation errors are too large to rule members out.)
 
@@ -31,8 +32,8 @@ CELL, FULL, VISITORS = 4_096, 12_288, 24_576
 BOOKS, WORDS, BEAM = 8, 256, 4
 #: Members of a cell compared with a block of queries at once; all of them are, one such portion after the other.
 PORTION = 16_384
-#: Limits nothing any more; the name stays for tests that set it.
-SHORTLIST = 128
+#: Vectors of the training sample that the books of residuals are trained on (the cells' words are trained on all of it).
+BOOK_TRAINING = 16_384
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -58,7 +59,7 @@ class Codebooks:
     def __init__(self, sample: np.ndarray, cells: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.coarse = _kmeans(sample, cells, 10, rng)
-        rest = sample[: max(16 * WORDS * 4, 1)] if len(sample) > 16 * WORDS * 4 else sample
+        rest = sample[:BOOK_TRAINING]  # the sample is in hash order
         rest = rest - self.coarse[_nearest(rest, self.coarse)]
         books = []
         for _ in range(BOOKS):
@@ -162,49 +163,57 @@ def _exact(queries):
 
 
 class Cells:
-    """Leaves of the tree of code prefixes: a centre each, and the leaf of every code."""
-
-    def __init__(self, books: Codebooks, counts: dict[tuple[int, ...], int]):
-        self.leaves: dict[tuple[int, ...], int] = {}
-        level: dict[tuple[int, ...], int] = counts
-        depth = max(map(len, counts), default=1)
-        totals: list[dict[tuple[int, ...], int]] = []
-        for d in range(1, depth + 1):
-            sums: dict[tuple[int, ...], int] = {}
-            for code, n in level.items():
-                sums[code[:d]] = sums.get(code[:d], 0) + n
-            totals.append(sums)
-        open_ = sorted(totals[0])
-        for d in range(1, depth + 1):
-            further = []
-            for prefix in open_:
-                if totals[d - 1][prefix] <= FULL or d == depth:
-                    self.leaves[prefix] = len(self.leaves)
+    """Leaves of the tree of code prefixes: a centre and a number of members each, and the leaf of every code.
+
+    tables[d] leads from an open prefix of d words and the next word on: to a leaf (its number), to an open prefix of d + 1 words
+    (-2 less its number), or nowhere (-1)."""
+
+    def __init__(self, books: Codebooks, counted):
+        """counted(prefixes): {prefix and next word: number of members} of the given open prefixes; of () for the first words."""
+        self.tables, self.sizes, leaves = [], [], []
+        open_ = [()]
+        for depth in range(BOOKS + 1):
+            table = np.full((len(open_), len(books.coarse) if depth == 0 else WORDS), -1, np.int64)
+            place, further = {prefix: i for i, prefix in enumerate(open_)}, []
+            for prefix, n in sorted(counted(open_).items()):
+                if n <= FULL or depth == BOOKS:
+                    to = len(leaves)
+                    leaves.append(prefix)
+                    self.sizes.append(n)
                 else:
+                    to = -2 - len(further)
                     further.append(prefix)
-            open_ = sorted(p for p in (totals[d] if d < depth else {}) if p[:-1] in set(further))
-        centres = [books.coarse[p[0]] + sum(books.books[i][w] for i, w in enumerate(p[1:])) for p in self.leaves]
+                table[place[prefix[:-1]], prefix[-1]] = to
+            self.tables.append(table)
+            open_ = further
+            if not open_:
+                break
+        centres = [books.coarse[p[0]] + sum(books.books[i][w] for i, w in enumerate(p[1:])) for p in leaves]
         self.centres = np.array(centres, np.float32).reshape(len(centres), -1)
-        self.depth = depth
+        self.half = (self.centres**2).sum(1) / 2
 
     def of(self, first: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        known: dict[tuple[int, ...], int] = {}
-        out = np.empty(len(first), np.int32)
-        for i, full in enumerate(zip(first.tolist(), *(codes[:, d].tolist() for d in range(self.depth - 1)))):
-            leaf = known.get(full)
-            if leaf is None:
-                leaf = known[full] = next(self.leaves[full[:d]] for d in range(1, self.depth + 1) if full[:d] in self.leaves)
-            out[i] = leaf
-        return out
+        at = self.tables[0][0][first]
+        for d, table in enumerate(self.tables[1:]):
+            on = at < -1
+            at[on] = table[-2 - at[on], codes[on, d]]
+        return at.astype(np.int32)
 
     def ranked(self, x: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
         """The n leaves to visit: a vector's own first, then the others by distance of their centres."""
-        score = x @ self.centres.T - (self.centres**2).sum(1) / 2
+        score = x @ self.centres.T - self.half
         score[np.arange(len(x)), own] = np.inf
         n = min(n, score.shape[1])
         part = np.argpartition(-score, n - 1, axis=1)[:, :n]
         return np.take_along_axis(part, np.argsort(-np.take_along_axis(score, part, 1), axis=1, kind="stable"), 1).astype(np.int32)
 
+    def ranks(self, x: np.ndarray, own: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """How many leaves a vector visits before a given one."""
+        score = x @ self.centres.T - self.half
+        wanted = score[np.arange(len(x)), leaves]
+        score[np.arange(len(x)), own] = np.inf
+        return np.where(leaves == own, 0, (score > wanted[:, None]).sum(1))
+
 
 def _router(cells, visits: int):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,39 +300,49 @@ class Neighbours:
         books = context.broadcast(Codebooks(train, int(np.clip(round(self.count / CELL), 1, 16_384))))
         coded = self.vectors.select("key", "unit").mapInArrow(_encoder(books), "key long, unit binary, first int, code binary")
         coded = self.scratch.write(coded, "coded")
-        prefix = [F.col("first")]
-        big = coded.groupBy("first").count().filter(F.col("count") > FULL).limit(1).count()
-        if big:  # code bytes after the first word, as far as any cell may need them
-            prefix += [F.conv(F.hex(F.substring("code", i + 1, 1)), 16, 10).cast("int").alias(f"w{i}") for i in range(2)]
-        counts = coded.groupBy(*prefix).count().collect()  # cells, or words of the first three books
-        cells = Cells(books.value, {tuple(r[:-1]): r[-1] for r in counts})
+        word = [F.col("first"), *(F.conv(F.hex(F.substring("code", i + 1, 1)), 16, 10).cast("int") for i in range(BOOKS))]
+
+        def counted(prefixes: list[tuple[int, ...]]) -> dict[tuple[int, ...], int]:
+            """One row for each next word of the prefixes: of the first words, then of those alone that are too full."""
+            depth = len(prefixes[0])
+            rows = coded.select(*(c.alias(f"w{i}") for i, c in enumerate(word[: depth + 1])))
+            if depth:
+                names = [f"w{i}" for i in range(depth)]
+                rows = rows.join(F.broadcast(self.spark.createDataFrame(prefixes, ", ".join(f"{n} int" for n in names))), names, "left_semi")
+            return {tuple(r[:-1]): r[-1] for r in rows.groupBy(*(f"w{i}" for i in range(depth + 1))).count().collect()}
+
+        cells = Cells(books.value, counted)
         shared = context.broadcast(cells)
 
-        queries = context.broadcast((keys[:PROBES], train[:PROBES], k))
+        asked, probes = keys[:PROBES], train[:PROBES]
+        queries = context.broadcast((asked, probes, k))
         truth = self.vectors.select("key", "unit").mapInArrow(_exact(queries), "q long, key long, similarity double")
         truth = truth.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "key"))).filter(F.col("n") <= k)
-        truth = truth.join(coded.select("key", "first", "code"), "key").select("q", "first", "code").toArrow()  # PROBES * k rows
-        place = {int(x): i for i, x in enumerate(keys[:PROBES])}
-        own = cells.of(*books.value.encode(train[:PROBES]))
-        order = cells.ranked(train[:PROBES], own, len(cells.centres))
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1], dtype=np.int32), order.shape).copy(), 1)
-        homes = cells.of(truth.column("first").to_numpy(), _unpack(truth.column("code"), np.uint8))
-        ranks = rank[np.array([place[int(x)] for x in truth.column("q").to_numpy()], np.int64), homes]
+        truth = truth.select("q", "key").unionByName(self.spark.createDataFrame([(int(x), int(x)) for x in asked], "q long, key long"))
+        truth = truth.join(coded.select("key", "first", "code"), "key").select("q", "key", "first", "code").toArrow()  # PROBES * (k + 1) rows
+        row = np.array([{int(x): i for i, x in enumerate(asked)}[int(q)] for q in truth.column("q").to_numpy()], np.int64)
+        leaf = cells.of(truth.column("first").to_numpy(), _unpack(truth.column("code"), np.uint8))
+        itself = truth.column("q").to_numpy() == truth.column("key").to_numpy()
+        own = np.zeros(len(asked), np.int32)
+        own[row[itself]] = leaf[itself]
+        row, leaf = row[~itself], leaf[~itself]
+        ranks = np.concatenate([cells.ranks(probes[row[i : i + 64]], own[row[i : i + 64]], leaf[i : i + 64]) for i in range(0, len(row), 64)])
         self.visits = int(np.sort(ranks)[min(int(np.ceil(recall * len(ranks))), len(ranks)) - 1]) + 1
         self.recall_of_visits = float((ranks < self.visits).mean())
 
         routed = coded.mapInArrow(_router(shared, self.visits), "key long, unit binary, cell int, member boolean")
-        # cells that many queries visit are searched in parts: each has all members and a share of the queries
+        # a cell with many visitors or members is searched in parts: a share of the queries meets a share of the members in each
         loads = routed.groupBy("cell").agg(F.count("*").alias("n"))
-        heavy = {r.cell: -(-r.n // VISITORS) for r in loads.filter(F.col("n") > VISITORS).collect()}  # at most one a leaf
+        visitors = {r.cell: r.n for r in loads.filter(F.col("n") > VISITORS).collect()}  # at most one a leaf
+        parts = {c: (-(-visitors.get(c, 1) // VISITORS), -(-n // FULL)) for c, n in enumerate(cells.sizes) if c in visitors or n > FULL}
         routed = routed.withColumn("part", F.lit(0)).withColumn("asks", F.lit(True))
-        if heavy:
-            parts = self.spark.createDataFrame(list(heavy.items()), "cell int, parts int")
-            routed = routed.join(F.broadcast(parts), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-            home = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-            where = F.when(F.col("member"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(home))
-            routed = routed.withColumn("home", home).withColumn("part", F.explode(where)).withColumn("asks", F.col("part") == F.col("home"))
+        if parts:
+            table = self.spark.createDataFrame([(c, q, m) for c, (q, m) in parts.items()], "cell int, qs int, ms int")
+            routed = routed.join(F.broadcast(table), "cell", "left").withColumns({"qs": F.coalesce("qs", F.lit(1)), "ms": F.coalesce("ms", F.lit(1))})
+            routed = routed.withColumns({"q": F.pmod(F.xxhash64("key"), F.col("qs")), "m": F.pmod(F.xxhash64("key", F.lit(1)), F.col("ms"))})
+            routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("qs") * F.col("ms") - 1)))
+            here = (F.col("part") % F.col("ms")) == F.col("m")
+            routed = routed.withColumns({"member": F.col("member") & here, "asks": F.floor(F.col("part") / F.col("ms")) == F.col("q")}).filter("member or asks")
         routed = routed.select("cell", "part", "key", "unit", "member", "asks")
         found = routed.groupBy("cell", "part").applyInArrow(_searcher(k), "q long, keys array<long>, similarities array<float>")
         pairs = found.groupBy("q").agg(F.collect_list(F.arrays_zip("keys", "similarities")).alias("x"))  # `visits` short lists each
