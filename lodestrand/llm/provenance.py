@@ -185,23 +185,31 @@ def signature(shingles: np.ndarray) -> bytes:
     return b"".join(mix(mix(shingles + np.uint64(s)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).tobytes() for s in (1, 2))
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """BANDS bucket keys of a set of shingles, none of an empty one."""
+#: Two bits are kept of each of the BANDS * ROWS least hashes. Of two sets alike by SIMILARITY, 48 of the 320 differ on average, with
+#: a standard deviation of 6.4, so pairs with more than this differing are below it but for one in 300,000.
+DIFFERENT = 77
+
+
+def bands(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS bucket keys of a set of shingles and the sketch of its least hashes, 32 in a number; none of an empty set."""
     if not len(shingles):
-        return np.zeros(0, np.uint64)
-    least = np.array([(shingles * s).min() for s in _SEEDS], dtype=np.uint64).reshape(BANDS, ROWS)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    least = np.array([(shingles * s).min() for s in _SEEDS], dtype=np.uint64)
+    places = np.uint64(2) * np.arange(32, dtype=np.uint64)
+    sketch = ((mix(least) >> np.uint64(62)).reshape(-1, 32) << places).sum(1, dtype=np.uint64)
+    least = least.reshape(BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         key = mix(key * np.uint64(BASE) + least[:, r])
-    return key
+    return key, sketch
 
 
-_FACTS = "doc_id string, project_id string, literal double, short double, width double, fresh double, numbered double, cover double, says_generated boolean, says_vendored boolean, generated_path boolean, vendor_path boolean, shingles array<long>, words array<long>, alike binary, same binary, bands array<long>, word_bands array<long>"
+_FACTS = "doc_id string, project_id string, literal double, short double, width double, fresh double, numbered double, cover double, says_generated boolean, says_vendored boolean, generated_path boolean, vendor_path boolean, shingles array<long>, words array<long>, alike binary, same binary, bands array<long>, word_bands array<long>, sketch array<long>, word_sketch array<long>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _FACTS.split(", ")]
-    kinds = [pa.string()] * 2 + [pa.float64()] * 6 + [pa.bool_()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()] * 2 + [pa.list_(pa.int64())] * 2
+    kinds = [pa.string()] * 2 + [pa.float64()] * 6 + [pa.bool_()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()] * 2 + [pa.list_(pa.int64())] * 4
     for batch in batches:
         ids, projects, paths, texts = (batch.column(i).to_pylist() for i in range(4))
         for start, stop in portions(texts):
@@ -211,10 +219,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 facts = Facts(paths[i], texts[i] or "")
                 shingles = facts.template
                 own = words[to[i - start] : to[i - start + 1]]
+                (keys, sketch), (word_keys, word_sketch) = bands(shingles), bands(own)
                 out.append(
                     (
                         ids[i], projects[i], facts.literal, facts.short, facts.width, facts.fresh, facts.numbered, facts.cover, facts.says_generated, facts.says_vendored, facts.generated_path, facts.vendor_path,
-                        shingles.view(np.int64), own.view(np.int64), signature(shingles), signature(own), bands(shingles).view(np.int64), bands(own).view(np.int64),
+                        shingles.view(np.int64), own.view(np.int64), signature(shingles), signature(own), *(x.view(np.int64) for x in (keys, word_keys, sketch, word_sketch)),
                     )
                 )
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
@@ -239,18 +248,20 @@ def source_files(chunks: DataFrame) -> DataFrame:
 FURTHER = 8
 
 
-def _clusters(scratch: Scratch, facts: DataFrame, name: str, kind: str, sets: str, keys: str) -> DataFrame:
+def _clusters(scratch: Scratch, facts: DataFrame, name: str, kind: str, sets: str, keys: str, sketches: str | None = None) -> DataFrame:
     """(kind, cluster): for every set of `sets`, known by its signature `kind`, the smallest doc_id of its cluster.
 
     Files with one set are one class from the start, led by their smallest doc_id, and only leaders are put into buckets.
     Files with an empty set are a class like any other. A bucket's first file is compared with all others, then, where the
     bucket still holds several clusters, the next FURTHER with those of other clusters, and so on: every pair that shares a
-    bucket ends up in one cluster or compared, unless the sizes rule it out, but never are all pairs of a bucket made at once.
+    bucket ends up in one cluster or compared, unless sizes or sketches rule it out, but never are all pairs of a bucket made at once.
     """
     classes = facts.groupBy(kind).agg(F.min("doc_id").alias("leader"))
     classes = scratch.write(classes, f"{name}-classes")
     leaders = classes.select(F.col("leader").alias("doc_id"))
-    buckets = facts.select("doc_id", F.size(sets).alias("size"), keys).join(leaders, "doc_id", "left_semi").select("doc_id", "size", F.explode(keys).alias("band"))
+    words = [f"g{i}" for i in range(BANDS * ROWS // 32)] if sketches else []
+    buckets = facts.select("doc_id", F.size(sets).alias("size"), keys, *(F.col(sketches)[i].alias(g) for i, g in enumerate(words)))
+    buckets = buckets.join(leaders, "doc_id", "left_semi").select("doc_id", "size", *words, F.explode(keys).alias("band"))
     shared = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     nth = F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))
     buckets = scratch.write(buckets.join(shared, "band", "left_semi").withColumn("nth", nth), f"{name}-buckets")
@@ -260,8 +271,12 @@ def _clusters(scratch: Scratch, facts: DataFrame, name: str, kind: str, sets: st
     found = buckets.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).filter("false")
     open_ = buckets.withColumn("component", F.col("doc_id"))
     while below < most:
-        firsts = open_.filter((F.col("nth") > below) & (F.col("nth") <= to)).select("band", F.col("doc_id").alias("first"), F.col("component").alias("other"), F.col("size").alias("fsize"), F.col("nth").alias("fnth"))
+        firsts = open_.filter((F.col("nth") > below) & (F.col("nth") <= to)).select("band", F.col("doc_id").alias("first"), F.col("component").alias("other"), F.col("size").alias("fsize"), F.col("nth").alias("fnth"), *(F.col(g).alias(f"f{g}") for g in words))
         near = F.least("size", "fsize") >= SIMILARITY * F.greatest("size", "fsize")
+        if words:
+            differ = [F.col(w).bitwiseXOR(F.col(f"f{w}")) for w in words]
+            differ = [F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(0x5555555555555555)) for x in differ]
+            near = near & (sum(differ[1:], differ[0]) <= DIFFERENT)
         pairs = open_.join(firsts, "band").filter((F.col("nth") > F.col("fnth")) & (F.col("component") != F.col("other")) & near)
         pairs = scratch.write(pairs.select("doc_id", "first").distinct(), f"{name}-pairs{to}")
         new = scratch.write(_verified(held, pairs), f"{name}-verified{to}")
@@ -299,9 +314,9 @@ def provenance(files: DataFrame) -> DataFrame:
     rows = files.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("project_id", F.lit("")).alias("project_id"), "file_path", "text").filter("doc_id is not null")
     facts = scratch.write(rows.dropDuplicates(["doc_id"]).mapInArrow(_describe, _FACTS), "facts")  # one row a doc_id before the wide columns are made
 
-    family = _clusters(scratch, facts.filter(F.size("shingles") > 0), "family", "alike", "shingles", "bands")
-    copies = _clusters(scratch, facts.filter(F.size("words") > 0), "copies", "same", "words", "word_bands")
-    told = facts.drop("shingles", "words", "bands", "word_bands").join(family.withColumnRenamed("cluster", "family"), "alike", "left").join(copies.withColumnRenamed("cluster", "copy"), "same", "left").drop("alike", "same")
+    family = _clusters(scratch, facts.filter(F.size("shingles") > 0), "family", "alike", "shingles", "bands", "sketch")
+    copies = _clusters(scratch, facts.filter(F.size("words") > 0), "copies", "same", "words", "word_bands", "word_sketch")
+    told = facts.drop("shingles", "words", "bands", "word_bands", "sketch", "word_sketch").join(family.withColumnRenamed("cluster", "family"), "alike", "left").join(copies.withColumnRenamed("cluster", "copy"), "same", "left").drop("alike", "same")
     told = scratch.write(told.withColumn("family", F.coalesce("family", "doc_id")).withColumn("copy", F.coalesce("copy", "doc_id")), "told")
     held = [(F.count("*"), "family_files"), *((F.sum(c), f"sum_{c}") for c in ("literal", "short", "width", "fresh"))]
     per_project = told.groupBy("family", "project_id").agg(*(value.alias(c) for value, c in held))

@@ -91,6 +91,19 @@ def test_pairs_of_a_bucket_beyond_its_first_files(spark):
     assert got == {f"{i:02}": f"{min(i, 38):02}" for i in range(40)}
 
 
+def test_sketches_tell_what_is_alike():
+    from lodestrand.llm.provenance import DIFFERENT, bands
+    from lodestrand.llm.words import mix
+    import numpy as np
+
+    every = mix(np.arange(1, 60_000, dtype=np.uint64))
+    apart = lambda a, b: sum(bin((x ^ y | (x ^ y) >> 1) & 0x5555555555555555).count("1") for x, y in zip(bands(a)[1].tolist(), bands(b)[1].tolist()))
+    counts = [apart(every[i * 290 : i * 290 + 180], every[i * 290 + 20 : i * 290 + 200]) for i in range(200)]  # similarity 0.8
+    assert max(counts) <= DIFFERENT and 44 < np.mean(counts) < 52
+    counts = [apart(every[i * 290 : i * 290 + 150], every[i * 290 + 50 : i * 290 + 200]) for i in range(200)]  # 0.5
+    assert np.mean([c > DIFFERENT for c in counts]) > 0.99
+
+
 def test_every_pair_of_a_bucket_counts(spark):
     own = lambda a, b: list(range(a, b))
     sets = {"a": own(0, 100), "b": own(40, 140), "c": own(41, 141), "d": own(200, 300), "e": own(210, 310), "f": own(220, 320), "g": own(500, 600)}
