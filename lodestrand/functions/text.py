@@ -301,3 +301,23 @@ def fuzzy_score(query: str, name: Column) -> Column:
         .when(within, 0.4)
         .otherwise(0.0)
     )
+
+
+def sanitized_with_wildcards(query: Column) -> Column:
+    """sanitized, but * and ? stay."""
+    held = F.translate(query, "*?", "\u0001\u0002")
+    return F.translate(sanitized(held), "\u0001\u0002", "*?")
+
+
+def truncated(text: Column, tokens: int) -> Column:
+    """Text of at most so many tokens of four characters, with three dots where it was cut."""
+    return F.when(F.length(text) > 4 * tokens, F.concat(F.substring(text, 1, 4 * tokens), F.lit("..."))).otherwise(text)
+
+
+def source_unit(kind: Column, path: Column, start: Column, end: Column, text: Column) -> Column:
+    """Identity of a piece of context: evidence by its place where that is known, else by its path and a digest of its text; a
+    memory by the digest. Case and white space don't count in a digest."""
+    digest = F.substring(F.sha2(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), 256), 1, 16)
+    place = F.concat_ws(":", F.lit("evidence"), path, start.cast("string"), F.coalesce(end, start).cast("string"))
+    evidence = F.when((path != "") & start.isNotNull(), place).when(path != "", F.concat_ws(":", F.lit("evidence"), path, digest)).otherwise(F.concat(F.lit("evidence:"), digest))
+    return F.when(kind == "evidence", evidence).otherwise(F.concat(F.lit("memory:"), digest))

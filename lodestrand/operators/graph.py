@@ -315,3 +315,15 @@ def service_gaps(connections: DataFrame, services: DataFrame) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def least_confidence(levels: Column) -> Column:
+    """The lowest of an array of confidences (high, medium, low, inferred); low for an empty one."""
+    ranks = F.transform(levels, lambda x: F.when(x == "high", 3).when(x == "medium", 2).when(x == "low", 1).otherwise(0))
+    lowest = F.array_min(ranks)
+    return F.when(lowest == 3, "high").when(lowest == 2, "medium").when(lowest == 0, "inferred").otherwise("low")
+
+
+def uncommitted(pending: DataFrame, committed: DataFrame) -> DataFrame:
+    """Pending relationships (by id) that aren't committed yet."""
+    return pending.join(committed.select("id").distinct(), "id", "left_anti")

@@ -373,3 +373,21 @@ def scan_lines(df: DataFrame, needle: str, context: int = 2, path: str = "file_p
     rows = rows.select("id", path, "__l", F.posexplode("__l").alias("__at", "line"))
     around = F.array_join(F.slice("__l", F.greatest(F.lit(1), F.col("__at") + 1 - context), F.least(F.col("__at"), F.lit(context)) + 1 + context), "\n")
     return rows.filter(F.lower("line").contains(needle.lower())).select("id", path, (F.col("__at") + 1).alias("line_number"), "line", around.alias("around"), F.lit(1.0).alias("score"))
+
+
+# ---- fixed values: weights of vector and text search by strategy
+STRATEGIES = {"fallback_only": (0.0, 1.0), "hybrid_fallback_primary": (0.3, 0.7), "semantic_primary": (0.7, 0.3), "semantic_only": (1.0, 0.0)}
+# ----
+
+
+def strategy_weights(strategy: str) -> tuple[float, float]:
+    """Weights of vector and text search; even for an unknown strategy."""
+    return STRATEGIES.get(strategy, (0.5, 0.5))
+
+
+def refinements(facets: dict[str, list[str]], filters: dict) -> list[str]:
+    """Ways to narrow a search: by facets of more than one value that no filter names yet, and by common terms."""
+    forms = [("type", "Narrow results by type: ", 3), ("language", "Filter by language: ", 3), ("directory", "Focus on specific directories: ", 3)]
+    out = [lead + ", ".join(facets[name][:most]) for name, lead, most in forms if len(facets.get(name, ())) > 1 and name not in filters]
+    terms = facets.get("terms") or []
+    return out + ["Refine query with: " + ", ".join(terms[:5])] if terms else out

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrand.plans import event_queries, graph_queries, hierarchy_queries, retrieval_queries, search_queries, table_queries, text_queries
+from lodestrand.plans import event_queries, graph_queries, hierarchy_queries, retrieval_queries, search_queries, table_queries, text_queries, upkeep_queries
 
-MODULES = [hierarchy_queries, search_queries, graph_queries, event_queries, text_queries, table_queries, retrieval_queries]
+MODULES = [hierarchy_queries, search_queries, graph_queries, event_queries, text_queries, table_queries, retrieval_queries, upkeep_queries]
 
 
 def queries() -> dict:

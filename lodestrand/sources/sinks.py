@@ -173,3 +173,13 @@ def expire_branches(df: DataFrame, active: list[str], now: Column) -> DataFrame:
 
 def prune_branches(df: DataFrame, cutoff: Column) -> DataFrame:
     return df.filter("expired_at is null").unionByName(df.filter(F.col("expired_at") >= cutoff))
+
+
+def without_file_links(relationships: DataFrame, entities: DataFrame, path: str, project: str) -> DataFrame:
+    """Relationships of all projects but for those of `project` with an end among its entities of a file."""
+    own = entities.filter((F.col("file_path") == path) & (F.col("project_id") == project)).select("id").distinct()
+    ids = own.select(F.col("id").alias("source_id"), F.lit(True).alias("__s"))
+    ends = own.select(F.col("id").alias("target_id"), F.lit(True).alias("__t"))
+    rows = relationships.join(ids, "source_id", "left").join(ends, "target_id", "left")
+    gone = (F.col("__s").isNotNull() | F.col("__t").isNotNull()) & F.coalesce(F.col("project_id") == project, F.lit(False))
+    return rows.filter(~gone).select(*relationships.columns)
